@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from lodestone.session import table
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.secrets import digest
+
+    return digest(table(spark, sf_dir, "documents"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.decontaminate import decontaminate
 
@@ -25,6 +31,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
     "op4_decontaminate": op4_decontaminate,
     "op10_quality_rules": op10_quality_rules,
 }
