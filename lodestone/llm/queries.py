@@ -34,6 +34,14 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from lodestone.llm.token_store import store_and_read
+
+    return store_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.toxicity import toxicity
 
@@ -55,6 +63,7 @@ QUERIES = {
     "op4_decontaminate": op4_decontaminate,
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op6_html_text": op6_html_text,
+    "op7_token_store": op7_token_store,
     "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
 }
