@@ -42,6 +42,12 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.ngram_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.toxicity import toxicity
 
@@ -64,6 +70,7 @@ QUERIES = {
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op6_html_text": op6_html_text,
     "op7_token_store": op7_token_store,
+    "op8_ngram_join": op8_ngram_join,
     "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
 }
