@@ -40,42 +40,58 @@ class MergeTransducer:
         self.ranks, self.max_states = ranks, max_states
         self.starts = {t[:i] for t in ranks for i in range(1, len(t))}
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
+        self.halves: dict[bytes, tuple[bytes, bytes] | None] = {}
         self.reset()
 
     def reset(self) -> None:
-        self.states: list[tuple[bytes, bytes, list[int]]] = [(b"", b"", [0])]
+        # last token given out, bytes behind it, length of the last token of each prefix of them, places where a token may be under way
+        self.states: list[tuple[bytes, bytes, list[int], list[int]]] = [(b"", b"", [0], [0])]
         self.known = {(b"", b""): 0}
         self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
         self.ends: list[tuple[int, ...] | None] = [None]
-
-    def merged(self, piece: bytes) -> list[bytes]:
-        """By the definition, for short pieces: the best-ranked pair first."""
-        parts, ranks = [piece[i : i + 1] for i in range(len(piece))], self.ranks
-        while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda i: ranks.get(parts[i] + parts[i + 1], 1 << 60))
-            if parts[best] + parts[best + 1] not in ranks:
-                break
-            parts[best : best + 2] = [parts[best] + parts[best + 1]]
-        return parts
+        self.asked: dict[int, int] = {}
+
+    def halved(self, token: bytes) -> tuple[bytes, bytes] | None:
+        """The two tokens whose merge made this one; None for a byte, and for a token that merges never make."""
+        if token not in self.halves:
+            parts, ranks = [token[i : i + 1] for i in range(len(token))], self.ranks
+            while len(parts) > 2:
+                found = [ranks.get(parts[i] + parts[i + 1], 1 << 60) for i in range(len(parts) - 1)]
+                at = found.index(min(found))
+                if found[at] == 1 << 60 or parts[at] + parts[at + 1] == token:
+                    break
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            self.halves[token] = (parts[0], parts[1]) if len(parts) == 2 else None
+        return self.halves[token]
 
     def stands(self, left: bytes, right: bytes) -> bool:
-        """Whether the two tokens stay apart when their bytes are merged."""
-        if not left:
-            return self.merged(right) == [right]
+        """Whether the two tokens stay apart when their bytes are merged.
+
+        The merges are undone from the last to the first; at any time only the tokens on both sides of the border count:
+        had they a merge with a better rank than the one undone last, it would have come first.
+        """
         if (known := self.pairs.get((left, right))) is None:
             if len(self.pairs) > 4 * self.max_states:
                 self.pairs.clear()
-            known = self.pairs[left, right] = self.merged(left + right) == [left, right]
+            if len(right) > 1 and self.halved(right) is None or not left:
+                known = self.pairs[left, right] = len(right) == 1 or self.halved(right) is not None
+                return known
+            known, a, b, limit, ranks = True, left, right, 1 << 60, self.ranks
+            while True:
+                if ranks.get(a + b, 1 << 60) < limit:
+                    known = False
+                    break
+                ra, rb = (ranks[a] if len(a) > 1 else -1), (ranks[b] if len(b) > 1 else -1)
+                if ra < 0 and rb < 0:
+                    break
+                # Of equal merges the left one comes first, so it is undone last.
+                if ra > rb:
+                    limit, a = ra, self.halved(a)[1]
+                else:
+                    limit, b = rb + 1, self.halved(b)[0]
+            self.pairs[left, right] = known
         return known
 
-    def _state(self, key: tuple[bytes, bytes], lasts: list[int]) -> int:
-        if (at := self.known.get(key)) is None:
-            at = self.known[key] = len(self.states)
-            self.states.append((*key, lasts))
-            self.moves.append({})
-            self.ends.append(None)
-        return at
-
     @staticmethod
     def _path(lasts: list[int], n: int) -> list[int]:
         out = []
@@ -88,47 +104,43 @@ class MergeTransducer:
         """The next state and the tokens given out."""
         if (move := self.moves[state].get(byte)) is not None:
             return move
-        before, pending, lasts = self.states[state]
+        before, pending, lasts, live = self.states[state]
         text = pending + bytes((byte,))
-        n, lasts = len(text), [*lasts, 0]
-        for i in range(n):
-            token = text[i:]
-            if token not in self.ranks or (i and not lasts[i]):
-                continue
-            if self.stands(text[i - lasts[i] : i] if i else before, token):
+        n, lasts, ranks = len(text), [*lasts, 0], self.ranks
+        for i in live:
+            if text[i:] in ranks and self.stands(text[i - lasts[i] : i] if i else before, text[i:]):
                 lasts[n] = n - i
                 break
-        live = [i for i in range(1, n) if lasts[i] and text[i:] in self.starts]
-        if text in self.starts:
-            live.insert(0, 0)
+        live = [i for i in live if text[i:] in self.starts]
         if lasts[n]:
             live.append(n)
-        shared: list[int] | None = None
-        for i in live:
-            path = self._path(lasts, i)
-            if shared is None:
-                shared = path
-            else:
+        cut, out, last = 0, [], before
+        if live and live[0]:
+            shared = self._path(lasts, live[0])
+            for i in live[1:]:
+                path = self._path(lasts, i)
                 same = 0
                 while same < min(len(shared), len(path)) and shared[same] == path[same]:
                     same += 1
                 shared = shared[:same]
-        cut, out, last = 0, [], before
-        for end in shared or []:
-            last = text[cut:end]
-            out.append(self.ranks[last])
-            cut = end
-        rest = lasts[cut:]
-        rest[0] = 0
-        rest = [0 if x > i else x for i, x in enumerate(rest)]
-        move = self._state((last, text[cut:]), rest), tuple(out)
-        self.moves[state][byte] = move
+            for end in shared:
+                last = text[cut:end]
+                out.append(ranks[last])
+                cut = end
+        key = last, text[cut:]
+        if (at := self.known.get(key)) is None:
+            at = self.known[key] = len(self.states)
+            rest = [0, *(0 if x > i else x for i, x in enumerate(lasts[cut + 1 :], 1))]
+            self.states.append((*key, rest, [i - cut for i in live]))
+            self.moves.append({})
+            self.ends.append(None)
+        move = self.moves[state][byte] = at, tuple(out)
         return move
 
     def end(self, state: int) -> tuple[int, ...]:
         """The tokens of what is under way where the piece ends."""
         if (out := self.ends[state]) is None:
-            _, text, lasts = self.states[state]
+            _, text, lasts, _ = self.states[state]
             cut, got = 0, []
             for end in self._path(lasts, len(text)):
                 got.append(self.ranks[text[cut:end]])
@@ -136,12 +148,43 @@ class MergeTransducer:
             out = self.ends[state] = tuple(got)
         return out
 
+    def simulate(self, state: int, rest: bytes) -> tuple[int, ...]:
+        """The tokens of what is under way and of the rest of a piece, without making states."""
+        before, pending, lasts, live = self.states[state]
+        text, ranks, starts, stands, known = pending + rest, self.ranks, self.starts, self.stands, self.pairs.get
+        lasts = lasts + [0] * len(rest)
+        for n in range(len(pending) + 1, len(text) + 1):
+            on, length = [], 0
+            for i in live:
+                token = text[i:n]
+                if not length and token in ranks:
+                    left = text[i - lasts[i] : i] if i else before
+                    if (fits := known((left, token))) or fits is None and stands(left, token):
+                        length = n - i
+                if token in starts:
+                    on.append(i)
+            if length:
+                lasts[n] = length
+                on.append(n)
+            live = on
+        cut, out = 0, []
+        for end in self._path(lasts, len(text)):
+            out.append(ranks[text[cut:end]])
+            cut = end
+        return tuple(out)
+
     def encode(self, piece: bytes) -> tuple[int, ...]:
-        if len(self.states) > self.max_states:
+        """A transition is made when it is needed for the fourth time; until then the rest of the piece is simulated."""
+        if len(self.states) > self.max_states or len(self.asked) > 8 * self.max_states:
             self.reset()
-        state, out, moves, step = 0, [], self.moves, self.step
-        for byte in piece:
-            move = moves[state].get(byte) or step(state, byte)
+        state, out, moves, asked = 0, [], self.moves, self.asked
+        for at, byte in enumerate(piece):
+            if (move := moves[state].get(byte)) is None:
+                key = state << 8 | byte
+                if (times := asked.get(key, 0)) < 3:
+                    asked[key] = times + 1
+                    return (*out, *self.simulate(state, piece[at:]))
+                move = self.step(state, byte)
             state = move[0]
             if move[1]:
                 out += move[1]
@@ -149,14 +192,14 @@ class MergeTransducer:
 
 
 class PieceCache(dict):
-    """Tokens of the stretches between single blanks; a stretch is encoded with the blank before it."""
+    """What a function gives for short strings, with a bound on how many are kept; before: is put before each."""
 
-    def __init__(self, encode_text, limit: int = 200_000, longest: int = 64):
+    def __init__(self, encode_text, limit: int = 400_000, longest: int = 48, before: str = " "):
         super().__init__()
-        self.encode_text, self.limit, self.longest = encode_text, limit, longest
+        self.encode_text, self.limit, self.longest, self.before = encode_text, limit, longest, before
 
     def __missing__(self, stretch: str):
-        value = self.encode_text(" " + stretch)
+        value = self.encode_text(self.before + stretch)
         if len(stretch) <= self.longest:
             if len(self) >= self.limit:
                 self.clear()
@@ -187,10 +230,12 @@ class Encoder:
         import regex
 
         self.machine, self.pieces = MergeTransducer(ranks, **bounds), regex.compile(pattern)
+        # Stretches between single blanks, each with the blank before it; and the pieces that they fall into.
         self.stretches, self.split = PieceCache(self.encode_text), Splitter()
+        self.tokens = PieceCache(lambda x: self.machine.encode(x.encode()), before="")
 
     def encode_text(self, text: str) -> tuple[int, ...]:
-        return tuple(chain.from_iterable(map(self.machine.encode, (x.encode() for x in self.pieces.findall(text)))))
+        return tuple(chain.from_iterable(map(self.tokens.__getitem__, self.pieces.findall(text))))
 
     def encode(self, text: str) -> list[int]:
         if not text:

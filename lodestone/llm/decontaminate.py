@@ -46,16 +46,47 @@ def _words(text: Column) -> Column:
     return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, r"[\x20\x09-\x0D]+"))
 
 
-def template_windows(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """keys, at (position), h (hash of the template), slots (values at placeholders, joined; null without any), n_windows."""
+def _typed(t: Column) -> Column:
+    """Numbers and units as placeholders."""
     units = "|".join(UNITS)
     number = r"(?<=^|\s)[$€£+(-]*\d[\d.,:/]*(?:st|nd|rd|th|%)?[).,;:!?]*(?=\s|$)"
     glued = rf"(?<=^|\s)[+(-]*\d[\d.,]*(?:{units})[).,;:!?]*(?=\s|$)"
-    t = F.coalesce(F.col(text), F.lit(""))
     typed = F.regexp_replace(F.regexp_replace(t, number, NUMBER), rf"(?i){glued}", NUMBER + UNIT)
     typed = F.regexp_replace(typed, rf"(?i)({NUMBER}\s+)(?:{units})[).,;:!?]*(?=\s|$)", "$1" + UNIT)
-    named = F.regexp_replace(F.col("_typed"), r"(?<=[^.!?:\s]\s)[\"'(]*\p{Lu}[\p{L}'’-]*", NAME)
-    step = texts.select(*keys, t.alias("_t"), typed.alias("_typed")).select(
+    return F.when(t.rlike(r"\d"), typed).otherwise(t)
+
+
+#: A word that counts as a name where it is not the first of its window.
+NAME_PATTERN = r"(?<=[^.!?:\s]\s)[\"'(]*(\p{Lu}[\p{L}'’-]*)"
+
+
+def window_hashes(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """keys, n_windows, at, h: the templates alone, on arrays of numbers."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    marked = F.regexp_replace(_typed(t), NAME_PATTERN, NAME + "$1")
+    step = texts.select(*keys, _words(_stripped(F.lower(marked))).alias("_m"))
+    name = lambda x: x.startswith(NAME)
+    step = step.select(
+        *keys,
+        F.transform("_m", lambda x: F.xxhash64(F.when(name(x), F.substring(x, len(NAME) + 1, 1 << 30)).otherwise(x))).alias("_f"),
+        F.transform("_m", lambda x: F.xxhash64(F.when(name(x), F.lit(NAME)).otherwise(x))).alias("_c"),
+    )
+    f, c = F.col("_f"), F.col("_c")
+    windows = (
+        F.when(F.size(c) >= WINDOW, F.transform(F.sequence(F.lit(0), F.size(c) - WINDOW), lambda i: F.xxhash64(F.get(f, i), *[F.get(c, i + k) for k in range(1, WINDOW)])))
+        .when(F.size(c) > 0, F.array(F.xxhash64(F.lit("short"), F.concat(F.slice(f, 1, 1), F.slice(c, 2, WINDOW)))))
+        .otherwise(F.array().cast("array<bigint>"))
+    )
+    step = step.select(*keys, windows.alias("_w"))
+    out = step.select(*keys, F.size("_w").alias("n_windows"), F.posexplode_outer("_w").alias("at", "h"))
+    return out.where(F.col("h").isNotNull())
+
+
+def template_windows(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """keys, at (position), h (hash of the template), slots (values at placeholders, joined; null without any), n_windows."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    named = F.regexp_replace(F.col("_typed"), NAME_PATTERN, NAME)
+    step = texts.select(*keys, t.alias("_t"), _typed(t).alias("_typed")).select(
         *keys,
         _words(F.col("_t")).alias("_o"),
         _words(_stripped(F.lower("_typed"))).alias("_f"),
@@ -94,15 +125,31 @@ def template_windows(texts: DataFrame, keys: list[str], text: str = "text") -> D
         .otherwise(F.array().cast("array<struct<at:int,h:bigint,slots:string>>"))
     )
     step = step.select(*keys, windows.alias("_w"))
-    return step.select(*keys, F.size("_w").alias("n_windows"), F.explode("_w").alias("_x")).select(
-        *keys, "n_windows", "_x.at", "_x.h", "_x.slots"
-    )
+    # An inner explode would be preceded by a filter on the size of its array, for which the optimizer computes all of the
+    # above a second time, within every lambda.
+    out = step.select(*keys, F.size("_w").alias("n_windows"), F.explode_outer("_w").alias("_x"))
+    return out.select(*keys, "n_windows", "_x.at", "_x.h", "_x.slots").where(F.col("h").isNotNull())
+
+
+def _candidates(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+    """doc_id of the documents that hold enough windows of an item, whatever their slots."""
+    theirs = window_hashes(items, ["item"]).select("item", F.col("n_windows").alias("item_windows"), F.col("at").alias("item_at"), "h")
+    small = theirs.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
+    ours = window_hashes(docs.select("doc_id", "text"), ["doc_id"]).select("doc_id", "h")
+    met = ours.join(F.broadcast(theirs) if small else theirs, "h")
+    held = met.groupBy("doc_id", "item", "item_windows").agg(F.size(F.collect_set("item_at")).alias("n_held"))
+    return held.where(F.col("n_held") >= threshold * F.col("item_windows")).select("doc_id").distinct()
 
 
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs (doc_id, item_id) with the share of the item's windows that the document holds with consistent slots."""
+    """Pairs (doc_id, item_id) with the share of the item's windows that the document holds with consistent slots.
+
+    Hashes of templates alone choose the documents first; slots are compared in those.
+    """
     items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).distinct()
     items = items.withColumn("item", F.xxhash64(F.col("item_id"), F.col("text")))
+    chosen = _candidates(docs, items, threshold).withColumnRenamed("doc_id", "_id")
+    docs = docs.select("doc_id", "text").join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     theirs = template_windows(items, ["item", "item_id"]).select(
         "item", "item_id", F.col("n_windows").alias("item_windows"), F.col("at").alias("item_at"), "h", F.col("slots").alias("item_slots")
     )
