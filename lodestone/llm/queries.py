@@ -14,6 +14,12 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "documents"))
 
 
+def op3_lm_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.lm_trie import trie_scores
+
+    return trie_scores(table(spark, sf_dir, "documents"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.decontaminate import decontaminate
 
@@ -66,6 +72,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op3_lm_trie": op3_lm_trie,
     "op4_decontaminate": op4_decontaminate,
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op6_html_text": op6_html_text,
