@@ -9,9 +9,9 @@ A document is the set of its distinct five-word shingles (64-bit hashes). Two se
    sets that link share a shingle of both prefixes, with enough shingles behind it for the overlap they need.
 3. Nodes of one prefix and size are a group. Groups meet over the shingles of their prefixes; pairs whose sizes or
    positions rule out a link are dropped; the groups of pairs are expanded and verified on whole sets.
-4. A group of near copies would make all its pairs. So each list is first joined to one leader only (linear), the links
-   found are merged to components, and then pairs are made only between different components of a list. Pairs within one
-   component cannot change the components, so no link between different components is lost.
+4. A group of near copies would make all its pairs. So each list is first joined to one leader only (linear), and again to
+   another where it still has several components; then all pairs are made between different components of a list. Pairs
+   within one component cannot change the components, so no link between different components is lost.
 
 Nothing is collected to the driver but counts and the bounded list of frequent shingles. Intermediate tables are written
 below spark.checkpoint.dir.
@@ -341,33 +341,40 @@ def jaccard_components(docs: DataFrame, one_task: int = ONE_TASK_LINKS) -> DataF
     sets = kept(texts.select("node", "text").mapInArrow(to_sets, "node bigint, set binary").dropDuplicates(["node"]), "sets")
     _free(spark)
 
-    # First each list to its leader, and each group to its first member.
-    leaders = lists.where(7 * F.col("r") >= 6 * F.col("n")).groupBy("h", "size").agg(F.min_by(F.struct("n", "r", "rep"), "rep").alias("two"))
-    near = lists.withColumn("size", F.explode(F.array(F.col("size"), F.col("size") - 1)))
-    star = (
-        near.select("h", "size", F.struct("n", "r", "rep").alias("one")).join(leaders, ["h", "size"]).where(_possible("one", "two"))
-        .select(F.least("one.rep", "two.rep").alias("a"), F.greatest("one.rep", "two.rep").alias("b"))
-    )
+    # First each list to a leader of its own, and each group to its first member.
     inner = members.join(prefix.groupBy("g").agg(F.min("node").alias("rep")), "g").select(F.least("rep", "node").alias("a"), F.greatest("rep", "node").alias("b"))
-    first = kept(_verified(star.unionByName(inner).where("a <> b").distinct(), sets), "links_1")
-    roots = components(first, f"{folder}/round_1", one_task)
-    # Then the pairs between different components of a list.
-    named = members.join(roots, "node", "left").select("g", "node", F.coalesce("root", "node").alias("root"))
-    every = kept(lists.join(named, "g").select("h", "n", "r", "node", "root"), "named_lists")
-    split = every.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
-    open_lists = every.join(split, "h").select("h", F.struct("n", "r", "node", "root").alias("x"))
-    pairs = (
-        open_lists.withColumnRenamed("x", "one").join(open_lists.withColumnRenamed("x", "two"), "h")
-        .where((F.col("one.node") < F.col("two.node")) & (F.col("one.root") != F.col("two.root")) & _possible("one", "two"))
-        .select(F.col("one.node").alias("a"), F.col("two.node").alias("b"))
-    )
-    # Members of one group in different components meet as well.
-    mixed = named.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("g")
-    inside = named.join(mixed, "g").select("g", F.struct("node", "root").alias("x"))
-    inside = inside.withColumnRenamed("x", "one").join(inside.withColumnRenamed("x", "two"), "g").where((F.col("one.node") < F.col("two.node")) & (F.col("one.root") != F.col("two.root")))
-    rest = pairs.unionByName(inside.select(F.col("one.node").alias("a"), F.col("two.node").alias("b"))).distinct()
-    second = kept(_verified(rest, sets), "links_2")
-    roots = components(first.unionByName(second), f"{folder}/round_2", one_task)
+    every = kept(lists.join(members, "g").select("h", "size", F.struct("n", "r", "node").alias("x"), "g"), "named_lists")
+    ours = lambda pairs: pairs.select(F.least("one.node", "two.node").alias("a"), F.greatest("one.node", "two.node").alias("b"))
+
+    def star(rows: DataFrame, turn: int) -> DataFrame:
+        """Each row of a list with the leader of its size and of the next smaller; lists differ in their leaders, and so do turns."""
+        order = F.xxhash64("x.node", "h", F.lit(turn))
+        leaders = rows.where(7 * F.col("x.r") >= 6 * F.col("x.n")).groupBy("h", "size").agg(F.min_by("x", order).alias("two"))
+        near = rows.select("h", F.explode(F.array(F.col("size"), F.col("size") - 1)).alias("size"), F.col("x").alias("one"))
+        return near.join(leaders, ["h", "size"]).where(_possible("one", "two"))
+
+    found = kept(_verified(ours(star(every, 0)).unionByName(inner).where("a <> b").distinct(), sets), "links_0")
+    # Then lists that still have several components, with other leaders; at last all pairs between their components.
+    for turn in (1, 2):
+        roots = components(found, f"{folder}/round_{turn}", one_task)
+        named = every.join(roots, F.col("x.node") == F.col("node"), "left").select("h", "size", "g", F.struct("x.*", F.coalesce("root", "x.node").alias("root")).alias("x"))
+        named = kept(named, f"rooted_{turn}")
+        split = named.groupBy("h").agg(F.min("x.root").alias("lo"), F.max("x.root").alias("hi")).where("lo <> hi").select("h")
+        open_lists = named.join(split, "h")
+        if turn == 1:
+            pairs = star(open_lists, 1).where("one.root <> two.root")
+        else:
+            pairs = open_lists.select("h", F.col("x").alias("one")).join(open_lists.select("h", F.col("x").alias("two")), "h")
+            pairs = pairs.where((F.col("one.node") < F.col("two.node")) & (F.col("one.root") != F.col("two.root")) & _possible("one", "two"))
+        more = ours(pairs)
+        if turn == 2:  # members of one group in different components meet as well
+            grouped = members.join(roots, "node", "left").select("g", F.struct("node", F.coalesce("root", "node").alias("root")).alias("x"))
+            mixed = grouped.groupBy("g").agg(F.min("x.root").alias("lo"), F.max("x.root").alias("hi")).where("lo <> hi").select("g")
+            inside = grouped.join(mixed, "g")
+            inside = inside.select("g", F.col("x").alias("one")).join(inside.select("g", F.col("x").alias("two")), "g")
+            more = more.unionByName(ours(inside.where((F.col("one.node") < F.col("two.node")) & (F.col("one.root") != F.col("two.root")))))
+        found = found.unionByName(kept(_verified(more.distinct(), sets), f"links_{turn}"))
+    roots = components(found, f"{folder}/round_3", one_task)
 
     label = F.coalesce("root", "node")
     known = described.where("n > 0").select("doc_id", "n", "node").join(roots, "node", "left").select("doc_id", "n", label.alias("label"))
