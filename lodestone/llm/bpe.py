@@ -231,7 +231,7 @@ class Encoder:
 
         self.machine, self.pieces = MergeTransducer(ranks, **bounds), regex.compile(pattern)
         # Stretches between single blanks, each with the blank before it; and the pieces that they fall into.
-        self.stretches, self.split = PieceCache(self.encode_text), Splitter()
+        self.stretches, self.split = PieceCache(self.encode_text, limit=800_000), Splitter()
         self.tokens = PieceCache(lambda x: self.machine.encode(x.encode()), before="")
 
     def encode_text(self, text: str) -> tuple[int, ...]:

@@ -188,10 +188,16 @@ class Batch:
         self.token, self.token_shard, self.of_token = u[order], shard[order], place[inverse]
         self.token_count = np.bincount(self.of_token, weights=train, minlength=len(u)).astype(np.int64)
         # Pairs: names of words in pairs have 32 bits; the shard goes by the context, of a hot one by the word as well.
-        w = (flat >> np.uint64(20)).astype(np.uint32)
+        w = (flat >> np.uint64(32)).astype(np.uint32)
         spread = np.isin(before, hot)
         shard = ((before * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(17)) + np.where(spread, w % np.uint32(SPREAD), 0).astype(np.uint64)) % np.uint64(shards)
-        order = np.lexsort((w, before, shard))
+        # By shard, context and word: places in the sorted tokens stand for both, so one key does.
+        if len(u) < 1 << 22 and shards < 1 << 18:
+            left = np.r_[0, inverse[:-1] + 1] if len(flat) else inverse
+            left[begins] = 0
+            order = np.argsort((shard.astype(np.int64) << 45) | (left.astype(np.int64) << 22) | inverse, kind="stable")
+        else:
+            order = np.lexsort((w, before, shard))
         s, c, x = shard[order], before[order], w[order]
         new = np.r_[True, (c[1:] != c[:-1]) | (x[1:] != x[:-1]) | (s[1:] != s[:-1])] if len(flat) else np.zeros(0, bool)
         self.of_pair = np.empty(len(flat), np.int64)
@@ -334,8 +340,10 @@ def trie_scores(docs: DataFrame) -> DataFrame:
         c = count[b.of_token]
         p1 = (c + 0.1) / (n + 0.1 * (v + 1))
         # The count of a context is that of its token, and of documents at a start.
-        known = dict(zip(b.token.tolist(), count.tolist(), strict=True)) | {START: n_start}  # a document's start is before its first token
-        total = np.array([known.get(x, 0) for x in names.tolist()], np.float64)
+        order = np.argsort(b.token)
+        found = np.minimum(np.searchsorted(b.token[order], names), max(0, len(order) - 1))
+        total = np.where(b.token[order][found] == names, count[order][found], 0).astype(np.float64) if len(order) else np.zeros(len(names))
+        total[names == START] = n_start
         of_context = at[stretch[b.of_pair]]
         cv, tv = total[of_context], t[of_context]
         direct = LEVELS[codes[b.of_pair]] * total_part[stretch[b.of_pair]] / np.maximum(cv, 1)

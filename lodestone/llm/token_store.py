@@ -5,7 +5,7 @@ different documents give equal chunks wherever they begin. A chunk is stored onc
 is a recipe of chunk addresses with a Merkle root over them; parts of the recipe table, in ascending ``doc_id``, have roots
 over their documents, and one root stands over all parts.
 
-Layout, all Parquet: ``chunks`` (address, n, payload: ids as little-endian integers of ``width`` bytes), ``recipes``
+Layout, all Parquet: ``loose/kind=chunk`` (address, n, payload: ids as little-endian integers of ``width`` bytes), ``recipes``
 (part, row_id, doc_id, n_tokens, addresses, root) and ``manifest`` (part, n_docs, n_tokens, root). Chunks are deduplicated by
 their address in one aggregation that first drops repetitions where they arise; what is read back is checked against its
 addresses and roots, and CRCs of documents are combined from those of chunks, so payloads never travel to their readers.
@@ -70,7 +70,7 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known, self.split = PieceCache(lambda x: self.packed([x])[0], limit=300_000), Splitter()
+        self.known, self.split = PieceCache(lambda x: self.packed([x])[0], limit=1_000_000), Splitter()
 
     def packed(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.type).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -112,42 +112,60 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0) -
 
     spark = docs.sparkSession
 
-    def to_chunks(batches):
+    names = ["address", "doc_id", "n", "addresses", "payload"]
+    key_type = docs.schema["doc_id"].dataType.simpleString()
+    both = f"address binary, doc_id {key_type}, n bigint, addresses array<binary>, payload binary"
+
+    def encode(batches):
+        """Rows of chunks (address, n, payload) that are new to the task, and rows of recipes (their root, doc_id, n, addresses)."""
         seen: set[bytes] = set()
         for batch in batches:
-            rows = []
-            for _, ids in _encoded(batch, tokenizer, end_id, key=False):
-                last = 0
-                for c in cuts(ids):
-                    payload = ids[last:c].tobytes()
-                    name = address(payload)
-                    if name not in seen:
-                        if len(seen) > 500_000:
-                            seen.clear()
-                        seen.add(name)
-                        rows.append((name, c - last, payload))
-                    last = c
-            names, n, payloads = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(n, pa.int32()), pa.array(payloads, pa.binary())], names=["address", "n", "payload"])
-
-    def to_recipes(batches):
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                chunks, roots, sizes, recipes = [], [], [], []
+                for _, ids in _encoded(part, tokenizer, end_id, key=False):
+                    last, own = 0, []
+                    for c in cuts(ids):
+                        payload = ids[last:c].tobytes()
+                        own.append(name := address(payload))
+                        if name not in seen:
+                            if len(seen) > 500_000:
+                                seen.clear()
+                            seen.add(name)
+                            chunks.append((name, c - last, payload))
+                        last = c
+                    roots.append(address(b"".join(own)))
+                    sizes.append(len(ids))
+                    recipes.append(own)
+                n, m = len(roots), len(chunks)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([*roots, *(x[0] for x in chunks)], pa.binary()), pa.concat_arrays([part.column(0), pa.nulls(m, part.column(0).type)]), pa.array([*sizes, *(x[1] for x in chunks)], pa.int64()),
+                        pa.array([*recipes, *[None] * m], pa.list_(pa.binary())), pa.array([*[None] * n, *(x[2] for x in chunks)], pa.binary()),
+                    ],
+                    names=names,
+                )
+
+    def unique(batches):
+        """All rows of an address are in one partition: the first of each chunk stays, and all recipes."""
+        import pyarrow.compute as pc
+
+        seen: set[bytes] = set()
         for batch in batches:
-            n, names, roots = [], [], []
-            for _, ids in _encoded(batch, tokenizer, end_id, key=False):
-                ends = cuts(ids)
-                own = [address(ids[a:b].tobytes()) for a, b in zip([0, *ends], ends)]  # noqa: B905
-                n.append(len(ids))
-                names.append(own)
-                roots.append(address(b"".join(own)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(names, pa.list_(pa.binary())), pa.array(roots, pa.binary())], names=["doc_id", "n_tokens", "addresses", "root"])
+            keep = []
+            for name, is_recipe in zip(batch.column(0).to_pylist(), pc.is_valid(batch.column(3)).to_pylist(), strict=True):
+                keep.append(is_recipe or name not in seen)
+                if not is_recipe:
+                    seen.add(name)
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
-    key_type = docs.schema["doc_id"].dataType.simpleString()
-    chunks = docs.select("text").mapInArrow(to_chunks, "address binary, n int, payload binary")
-    chunks.groupBy("address").agg(F.first("n").alias("n"), F.first("payload").alias("payload")).write.option("compression", "zstd").mode("overwrite").parquet(f"{folder}/chunks")
     loose = f"{folder}/loose"
-    docs.select("doc_id", "text").mapInArrow(to_recipes, f"doc_id {key_type}, n_tokens bigint, addresses array<binary>, root binary").write.mode("overwrite").parquet(loose)
+    sent = docs.select("doc_id", "text").mapInArrow(encode, both).repartition("address")
+    kind = F.when(F.col("payload").isNull(), "recipe").otherwise("chunk").alias("kind")
+    sent.mapInArrow(unique, both).select("*", kind).write.option("compression", "zstd").partitionBy("kind").mode("overwrite").parquet(loose)
     # Recipes alone are put in order: some bytes for each chunk.
-    ordered = spark.read.parquet(loose).repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "root")
+    recipes = spark.read.schema(f"{both}, kind string").parquet(loose).where("kind = 'recipe'").select("doc_id", F.col("n").alias("n_tokens"), "addresses", F.col("address").alias("root"))
+    ordered = recipes.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "root")
     ordered.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row_id"), "*").write.mode("overwrite").parquet(f"{folder}/recipes")
     in_order = F.transform(F.array_sort(F.collect_list(F.struct("row_id", "root"))), lambda x: F.hex(x["root"]))
     manifest = (
@@ -158,6 +176,12 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0) -
     manifest.write.mode("overwrite").parquet(f"{folder}/manifest")
 
 
+def stored_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """(address, n, payload) of all chunks."""
+    schema = "address binary, n bigint, payload binary, kind string"
+    return spark.read.schema(schema).parquet(f"{folder}/loose").where("kind = 'chunk'").select("address", "n", "payload")
+
+
 def store_root(spark: SparkSession, folder: str) -> str:
     """The root over all parts."""
     rows = spark.read.parquet(f"{folder}/manifest").orderBy("part").select("root").collect()
@@ -212,7 +236,7 @@ def read_digests(spark: SparkSession, folder: str, width: int) -> DataFrame:
                 good.append(said == len(ids) and address(payload) == name)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(good, pa.bool_())], names=["address", "n", "crc", "good"])
 
-    chunks = spark.read.parquet(f"{folder}/chunks").select("address", "n", "payload").mapInArrow(look, "address binary, n bigint, crc bigint, good boolean")
+    chunks = stored_chunks(spark, folder).mapInArrow(look, "address binary, n bigint, crc bigint, good boolean")
     recipes = spark.read.parquet(f"{folder}/recipes")
     steps = recipes.select("part", "row_id", "doc_id", "root", F.posexplode("addresses").alias("at", "address"))
     met = steps.join(chunks, "address", "left").groupBy("part", "row_id", "doc_id", "root").agg(F.array_sort(F.collect_list(F.struct("at", "address", "n", "crc", "good"))).alias("steps"))
@@ -244,7 +268,7 @@ def read_digests(spark: SparkSession, folder: str, width: int) -> DataFrame:
 def read_documents(spark: SparkSession, folder: str, width: int) -> DataFrame:
     """(doc_id, ids): the documents put together again from their chunks."""
     recipes = spark.read.parquet(f"{folder}/recipes").select("row_id", "doc_id", F.posexplode("addresses").alias("at", "address"))
-    chunks = spark.read.parquet(f"{folder}/chunks").select("address", "payload")
+    chunks = stored_chunks(spark, folder).select("address", "payload")
     whole = recipes.join(chunks, "address").groupBy("row_id", "doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "payload"))).alias("parts"))
     kind = np.dtype(f"<u{width}")
     key_type = whole.schema["doc_id"].dataType.simpleString()

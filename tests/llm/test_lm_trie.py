@@ -73,7 +73,7 @@ def test_scores_equal_the_definition(spark, monkeypatch, share):
     wanted = sorted(((rows[k][0], *x) for k, x in want.items()), key=key)
     for f, w in zip(found, wanted, strict=True):
         assert f[:5] == w[:5] and abs(f[5] - w[5]) < 1e-6 * max(1, abs(w[5]))
-        assert abs(f[6] - w[6]) <= 0.025 * f[2], (f, w)  # half a step of quantisation a token
+        assert abs(f[6] - w[6]) <= 0.04 * f[2], (f, w)  # half a step of quantisation a token, and the estimate of T of spread contexts
 
 
 def test_empty(spark):

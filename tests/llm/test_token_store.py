@@ -5,7 +5,7 @@ import numpy as np
 import public_tokenizers as P
 from tokenizers import Tokenizer
 
-from lodestone.llm.token_store import LibraryEncoder, address, combine_crc, cuts, read_digests, read_documents, store_root, token_width, write_store
+from lodestone.llm.token_store import LibraryEncoder, address, combine_crc, cuts, read_digests, read_documents, store_root, stored_chunks, token_width, write_store
 
 PATH = P.path("byte_bpe_50k.json")
 
@@ -55,7 +55,7 @@ def test_store(spark, tmp_path):
         ids = plain("no id" if r.doc_id is None else texts[r.doc_id] or "")
         assert (r.start, r.n_tokens, r.ids_crc32, r.verified) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), True)
         at += len(ids)
-    chunks = spark.read.parquet(folder + "/chunks")
+    chunks = stored_chunks(spark, folder)
     stored = chunks.agg({"n": "sum"}).first()[0]
     assert chunks.count() == chunks.select("address").distinct().count() and stored < 0.6 * at
     again = {r.doc_id: r.ids for r in read_documents(spark, folder, 2).where("doc_id is not null").collect()}
