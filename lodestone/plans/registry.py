@@ -452,3 +452,82 @@ def evidence_dedup(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "event_type", F.get_json_object("props", "$.k").cast("int").alias("k"))
     w = Window.partitionBy("event_type", "k").orderBy("event_id")
     return e.withColumn("r", F.row_number().over(w)).where("r = 1").select("event_type", "k", "event_id")
+
+
+# --- texts --------------------------------------------------------------------------------------------------------------
+
+
+@query("select lang as language, count(*) as files, sum(len(string_split(text, chr(10))))::bigint as lines, sum(n_chars)::bigint as bytes from documents group by 1")
+def lang_breakdown(spark, sf_dir):
+    from lodestone.sources.repository import language_breakdown
+
+    d = table(spark, sf_dir, "documents")
+    return language_breakdown(d.select(F.col("lang").alias("language"), F.size(F.split("text", "\n")).cast("long").alias("line_count"), F.col("n_chars").alias("file_size")))
+
+
+_PATH = "case doc_id % 6 when 0 then 'src/a' || doc_id || '.py' when 1 then 'node_modules/x' || doc_id || '.js' when 2 then 'a' || doc_id || '.min.js' when 3 then 'img/' || doc_id || '.png' when 4 then 'doc/' || doc_id || '.md' else 'build/' || doc_id || '.txt' end"
+
+
+@query(
+    f"""with d as (select doc_id, {_PATH} as path, n_chars from documents) select doc_id, path, case when path like 'node_modules/%' or path like 'build/%' then 'ignored directory' when path like '%.min.js' then 'ignored pattern'
+      when path like '%.png' then 'binary extension' when n_chars > 3000 then 'too large' when n_chars = 0 then 'empty' end as reason from d"""
+)
+def ingest_filter(spark, sf_dir):
+    from lodestone.sources.repository import skip_reason
+
+    d = table(spark, sf_dir, "documents").select("doc_id", F.expr(_PATH).alias("path"), "n_chars", F.encode("text", "UTF-8").alias("content"))
+    return d.select("doc_id", "path", skip_reason(F.col("path"), F.col("n_chars"), F.col("content"), 3000).alias("reason"))
+
+
+@query("select doc_id, substr(sha256('d/' || doc_id || '.md:doc_section::1-' || len(string_split(text, chr(10))) || ':' || trim(text, ' ' || chr(9) || chr(10) || chr(13))), 1, 16) as chunk_id from documents")
+def chunk_ids(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    text = F.trim("text", F.lit(" \t\n\r"))
+    whole = F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".md:doc_section::1-"), F.size(F.split("text", "\n")).cast("string"), F.lit(":"), text)
+    return d.select("doc_id", F.substring(F.sha2(F.encode(whole, "UTF-8"), 256), 1, 16).alias("chunk_id"))
+
+
+@query(
+    """with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as n from documents),
+    h as (select doc_id, n, line, lead(n) over (partition by doc_id order by n) - 1 as e, max(n) over (partition by doc_id) as last from l where length(line) >= 200)
+    select doc_id, n::int as start_line, coalesce(e, (select max(n) from l where l.doc_id = h.doc_id))::int as end_line, length(line)::int as width from h"""
+)
+def chunk_lines(spark, sf_dir):
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.size(F.split("text", "\n")).alias("total"), F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    w = Window.partitionBy("doc_id").orderBy("n")
+    heads = lines.where(F.length("line") >= 200).withColumn("e", F.lead("n").over(w))
+    return heads.select("doc_id", (F.col("n") + 1).alias("start_line"), F.coalesce("e", "total").alias("end_line"), F.length("line").alias("width"))
+
+
+def _intent_sql() -> str:
+    from lodestone.plans.intent import INTENT_PATTERNS, INTENTS
+
+    case = lambda p, w: f"(case when regexp_matches(q, '{p}') then {w}::double else 0 end)"
+    scores = ", ".join(" + ".join(case(p, w) for p, w in INTENT_PATTERNS[k]) + f" as {k.lower()}" for k in INTENTS)
+    union = " union all ".join(f"select conv_id, turn, {k.lower()} as s, {i} as i, '{k}' as name from s" for i, k in enumerate(INTENTS))
+    return f"""with b as ({_QUESTIONS_SQL}), s as (select conv_id, turn, {scores} from b), u as ({union}), r as (select *, row_number() over (partition by conv_id, turn order by s desc, i) as k from u)
+      select conv_id, turn, case when s = 0 then 'UNDERSTAND' else name end as intent from r where k = 1"""
+
+
+_ASKED = ("how does it work", "who calls it", "what breaks if it is changed", "show the commit history", "are there package cycles", "explain the architecture of it", "nothing")
+_QUESTIONS_SQL = "select conv_id, turn, case (conv_id + turn) % 7 " + " ".join(f"when {i} then '{q}'" for i, q in enumerate(_ASKED)) + " end || ' ' || lower(coalesce(text, '')) as q from conversations"
+
+
+@query(_intent_sql())
+def intent_classify(spark, sf_dir):
+    from lodestone.plans.intent import classify_table
+
+    c = table(spark, sf_dir, "conversations")
+    asked = F.get(F.array(*[F.lit(q) for q in _ASKED]), ((F.col("conv_id") + F.col("turn")) % 7).cast("int"))
+    c = c.select("conv_id", "turn", F.concat(asked, F.lit(" "), F.lower(F.coalesce("text", F.lit("")))).alias("query"))
+    return classify_table(c).select("conv_id", "turn", "intent")
+
+
+@query(
+    f"""with recursive e as materialized {_DEPENDS}, r as (select 'nation:3' as node, 0 as depth union select e.dst, r.depth + 1 from r join e on e.src = r.node and e.edge_type in ('IMPORTS', 'CALLS') where r.depth < 2)
+    select node, min(depth)::int as depth from r where depth > 0 group by 1"""
+)
+def dependencies_transitive(spark, sf_dir):
+    e = _depends(spark, sf_dir)
+    start = spark.createDataFrame([("nation:3",)], "root string")
+    return G.reach(e, start, 2, ("IMPORTS", "CALLS")).select("node", "depth")
