@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from itertools import groupby
 
 import numpy as np
 import zstandard as zs
@@ -125,30 +126,32 @@ def merge_bwts(shards: list[np.ndarray], ends: list[int], depth: int) -> tuple[n
     return z, block
 
 
-def repeated(shards: list[list[bytes]], depth: int = LENGTH) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """The repeated strings of that length: (shard, segment, offset) of the places of each."""
+def merged_rows(shards: list[list[bytes]], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(block, shard, segment, offset) of the suffixes with depth characters or more, in merged order."""
     built = [build_bwt(s) for s in shards if s]
-    names = [k for k, s in enumerate(shards) if s]
+    names = np.array([k for k, s in enumerate(shards) if s], np.int64)
     if not built:
-        return []
+        return (np.zeros(0, np.int64),) * 4
     z, block = merge_bwts([b[0] for b in built], [len(shards[k]) for k in names], depth)
-    seg, off = np.empty(len(z), np.int64), np.empty(len(z), np.int64)
+    seg, off, room = (np.empty(len(z), np.int64) for _ in range(3))
     for k, (_, s, o) in enumerate(built):
-        seg[z == k], off[z == k] = s, o
-    start = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+        length = np.array([len(x) for x in shards[names[k]]], np.int64)
+        seg[z == k], off[z == k], room[z == k] = s, o, length[s] - o
+    # A block whose prefix runs over the end of a string is none of that length.
+    keep = room >= depth
+    return block[keep], names[z[keep]], seg[keep], off[keep]
+
+
+def repeated(shards: list[list[bytes]], depth: int = LENGTH) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The repeated strings of that length: (shard, segment, offset) of the places of each."""
+    block, *places = merged_rows(shards, depth)
+    start = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else block
     size = np.diff(np.r_[start, len(block)])
-    shard = np.array(names)[z]
-    out = []
-    for a, k in zip(start[size > 1].tolist(), size[size > 1].tolist(), strict=True):
-        # A block whose prefix runs over the end of a string is none of that length.
-        if off[a] + depth <= len(shards[shard[a]][seg[a]]):
-            out.append((shard[a : a + k], seg[a : a + k], off[a : a + k]))
-    return out
+    return [tuple(x[a : a + k] for x in places) for a, k in zip(start[size > 1].tolist(), size[size > 1].tolist(), strict=True)]
 
 
-def _runs(values: np.ndarray) -> list[tuple[int, int]]:
-    at = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
-    return list(zip(np.diff(np.r_[at, len(values)]).tolist(), values[at].tolist(), strict=True))
+def _runs(values: list[int]) -> list[tuple[int, int]]:
+    return [(len(list(g)), v) for v, g in groupby(values)]
 
 
 def smallest_holders(senders: list[list[tuple[int, bytes, int]]]) -> list[list[list[tuple[int, int]]]]:
@@ -158,9 +161,11 @@ def smallest_holders(senders: list[list[tuple[int, bytes, int]]]) -> list[list[l
     for k, rows in enumerate(senders):
         for anchor, data, doc in rows:
             key = anchor, data
-            if key not in least or doc < least[key]:
+            known = least.get(key)
+            if known is None:
+                least[key], owner[key] = doc, k
+            elif doc < known:
                 least[key] = doc
-            owner.setdefault(key, k)
     several: dict[int, int] = {}
     for anchor, _ in least:
         several[anchor] = several.get(anchor, 0) + 1
@@ -170,13 +175,21 @@ def smallest_holders(senders: list[list[tuple[int, bytes, int]]]) -> list[list[l
         if several[key[0]] > 1:
             shards[k].append(key)
     shards = _evened([s for s in shards if s])
-    windows = {key: np.full(len(key[1]) - LENGTH + 1, least[key], np.int64) for s in shards for key in s}
-    for shard, seg, off in repeated([[data for _, data in s] for s in shards]):
-        keys = [shards[a][b] for a, b in zip(shard.tolist(), seg.tolist(), strict=True)]
-        low = min(least[key] for key in keys)
-        for key, o in zip(keys, off.tolist(), strict=True):
-            windows[key][o] = min(low, windows[key][o])
-    spread = {key: _runs(v) for key, v in windows.items()}
+    spread: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
+    if any(shards):
+        keys = [key for s in shards for key in s]
+        low = np.array([least[key] for key in keys], np.int64)
+        n = np.array([len(d) - LENGTH + 1 for _, d in keys], np.int64)
+        base = np.cumsum(n) - n
+        held = np.repeat(low, n)
+        first = np.cumsum([0, *(len(s) for s in shards)])[:-1]
+        block, shard, seg, off = merged_rows([[data for _, data in s] for s in shards], LENGTH)
+        of = first[shard] + seg
+        start = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+        smallest = np.minimum.reduceat(low[of], start)
+        held[base[of] + off] = np.repeat(smallest, np.diff(np.r_[start, len(block)]))
+        values = held.tolist()
+        spread = {key: _runs(values[b : b + k]) for key, b, k in zip(keys, base.tolist(), n.tolist(), strict=True)}
     return [[spread.get((a, d)) or [(len(d) - LENGTH + 1, least[a, d])] for a, d, _ in rows] for rows in senders]
 
 
@@ -219,7 +232,8 @@ class Batch:
             name = int(self.of[i])
             data = self.data[self.doc[i]][s : s + int(self.size[i]) + LENGTH - 1]
             out.setdefault(int(self.shard[name]), {}).setdefault((name, data), []).append(i)
-        return out
+        # Rows come to a batch in any order; the segments go out and come back in theirs.
+        return {k: dict(sorted(v.items())) for k, v in out.items()}
 
 
 def _cut(values: np.ndarray, shards: int):
