@@ -79,29 +79,26 @@ def anchored(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def build_bwt(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(characters + 1 with 0 for an end, segment, offset) of the sorted suffixes of a shard; ends come first, in order."""
+    """(characters + 1 with 0 for an end, segment, offset) of the sorted suffixes of a shard; ends come first, in order.
+
+    UTF-8 has no byte over 0xF4, so characters fit in a byte.
+    """
     m = len(segments)
     length = np.array([len(s) for s in segments])
     wide = int(length.max()) + 1
-    pad = np.zeros((m, (wide + 15) // 8 * 8 + 8), np.uint8)
     flat = np.frombuffer(b"".join(segments), np.uint8)
     seg = np.repeat(np.arange(m), length)
     off = np.arange(len(flat)) - np.repeat(np.cumsum(length) - length, length)
-    codes = np.zeros(pad.shape, np.uint16)
-    codes[seg, off] = flat.astype(np.uint16) + 1
-    # Keys of four characters each, read at every offset.
-    every_seg = np.r_[np.arange(m), seg]
-    every_off = np.r_[length, off]
-    keys = []
-    for j in range(0, wide, 4):
-        key = np.zeros(len(every_seg), np.uint64)
-        for i in range(4):
-            at = np.minimum(every_off + j + i, pad.shape[1] - 1)
-            key = (key << np.uint64(9)) | codes[every_seg, at].astype(np.uint64)
-        keys.append(key)
+    codes = np.zeros((m, wide + 16), np.uint8)
+    codes[seg, off] = flat + np.uint8(1)
+    # Eight characters from every place as one number.
+    eight = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(codes, 8, axis=1)).view(">u8")[..., 0].astype(np.uint64)
+    last = eight.shape[1] - 1
+    every_seg, every_off = np.r_[np.arange(m), seg], np.r_[length, off]
+    keys = [eight[every_seg, np.minimum(every_off + j, last)] for j in range(0, wide, 8)]
     order = np.lexsort((every_seg, *keys[::-1]))
     s, o = every_seg[order], every_off[order]
-    return np.where(o > 0, codes[s, np.maximum(o - 1, 0)], 0).astype(np.uint16), s, o
+    return np.where(o > 0, codes[s, np.maximum(o - 1, 0)], 0).astype(np.uint8), s, o
 
 
 def merge_bwts(shards: list[np.ndarray], ends: list[int], depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,20 +106,23 @@ def merge_bwts(shards: list[np.ndarray], ends: list[int], depth: int) -> tuple[n
 
     ends: how many strings each shard has; their end marks are first in its order and stay in the order of the shards.
     """
-    z = np.repeat(np.arange(len(shards)), [len(x) for x in shards])
-    top = np.repeat(np.arange(len(shards)), ends)
-    block = np.zeros(len(z), np.int64)
+    small = np.uint8 if len(shards) < 256 else np.int64
+    z = np.repeat(np.arange(len(shards)), [len(x) for x in shards]).astype(small)
+    top = np.repeat(np.arange(len(shards)), ends).astype(small)
+    every = np.concatenate(shards)
+    block = np.zeros(len(z), np.int32 if len(z) < 1 << 31 else np.int64)
+    heads = np.arange(len(top), dtype=block.dtype)
+    chars = np.empty(len(z), np.uint8)
     for _ in range(depth):
-        chars = np.empty(len(z), np.uint16)
-        for k, x in enumerate(shards):
-            chars[z == k] = x
-        inner = np.flatnonzero(chars)
-        order = inner[np.argsort(chars[inner], kind="stable")]
+        # The characters of a shard stand at its places in the interleave, in their order.
+        chars[np.argsort(z, kind="stable")] = every
+        order = np.argsort(chars, kind="stable")[len(top) :]
         c, b = chars[order], block[order]
         # Each end mark is a block of its own: strings of different texts never go on into each other.
-        fresh = np.r_[True, (c[1:] != c[:-1]) | (b[1:] != b[:-1])] if len(order) else np.zeros(0, bool)
-        block = np.r_[np.arange(len(top)), len(top) + np.cumsum(fresh) - 1]
-        z = np.r_[top, z[order]]
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (c[1:] != c[:-1]) | (b[1:] != b[:-1])
+        block = np.concatenate([heads, len(top) - 1 + np.cumsum(fresh, dtype=block.dtype)])
+        z = np.concatenate([top, z[order]])
     return z, block
 
 
