@@ -51,6 +51,10 @@ ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 
 
+#: Parts that the pages of a host are dealt to.
+PARTS = 64
+
+
 @dataclass
 class Bounds:
     """importance under which a branch is cut, and the pages a host needs for an entropy."""
@@ -239,8 +243,10 @@ def extract_text(pages: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
     """Per row: page_id, url, text, n_chars."""
     import pyarrow as pa
 
-    low = low_importance(pages, bounds)
-    joined = pages.select("page_id", "url", "html", _host("url").alias("host")).join(low, "host", "left").select("page_id", "url", "html", "cut")
+    # A host may have a third of all pages: its few elements go to each of its parts.
+    low = low_importance(pages, bounds).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    dealt = pages.select("page_id", "url", "html", _host("url").alias("host"), F.pmod(F.xxhash64("page_id", "url"), F.lit(PARTS)).cast("int").alias("part"))
+    joined = dealt.join(low, ["host", "part"], "left").select("page_id", "url", "html", "cut")
     schema = T.StructType([pages.schema["page_id"], pages.schema["url"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def extract(batches):
