@@ -10,7 +10,8 @@ context's own range.
 with T(v) the number of different successors of v. A shard builds its trie, answers all queries that were sent to it, and
 drops it, all in one task that can run again. Documents are dealt to batches by a hash of their id; a batch asks each shard
 once for each different pair in it, so a frequent pair costs a shard one question a batch. Successors of contexts with a
-large share of all tokens (at most 1 / HOT_SHARE of them) are spread over several shards.
+large share of all tokens (at most 1 / HOT_SHARE of them) are spread over several shards; each shard tells once how many it
+has of each, and T(v) of these contexts is the sum over all shards.
 
 Cases: a null or empty text is the end token alone; null ``doc_id``s are training rows in one batch; rows that share a
 ``doc_id`` are scored one by one; other columns are ignored; an empty table gives an empty result; without training rows
@@ -233,7 +234,8 @@ def _unpacked(data: bytes, widths: dict[int, tuple]) -> tuple[int, list[np.ndarr
 
 #: kind 0: tokens and counts; kind 1: contexts, how many words each, words, counts.
 REQUEST = {0: ("<u8", "<u4"), 1: ("<u8", "<u4", "<u4", "<u4")}
-REPLY = {0: ("<i8",), 1: ("u1", "<i8", "<i8"), 2: ("<i8",)}
+#: kind 0: counts; kind 1: codes, successors and totals; of a shard, kind 2: different tokens and tokens, kind 3: successors of each hot context.
+REPLY = {0: ("<i8",), 1: ("u1", "<i8", "<i8"), 2: ("<i8",), 3: ("<i8",)}
 
 
 def trie_scores(docs: DataFrame) -> DataFrame:
@@ -260,7 +262,7 @@ def trie_scores(docs: DataFrame) -> DataFrame:
     seen = docs.select("doc_id", "text").mapInArrow(hot_words, "w bigint, c bigint").groupBy("w").agg(F.sum("c").alias("c"))
     n_train = seen.where("w = 0").select("c").first()
     often = seen.where((F.col("w") != 0) & (F.col("c") >= share * (n_train.c if n_train else 0))).select("w").limit(int(4 / share)).collect()
-    hot = np.array([r.w for r in often], np.int64).view(np.uint64)
+    hot = np.sort(np.array([r.w for r in often], np.int64).view(np.uint64))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_batches = shards = int(max(spark.sparkContext.defaultParallelism, 1 + size // BATCH_BYTES))
     dealt = docs.select("doc_id", "text", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(n_batches)), F.lit(0)).cast("int").alias("batch"))
@@ -307,6 +309,8 @@ def trie_scores(docs: DataFrame) -> DataFrame:
                         codes, t, total = trie.query(ci, wi)
                         first = np.flatnonzero(np.r_[True, ci[1:] != ci[:-1]])
                         out.append((name, _packed(1, codes, t[first], total[first])))
+                    if len(hot):
+                        out.append((-1, _packed(3, trie.query(hot, np.zeros(len(hot), np.uint32))[1])))
                     del trie
             for i in range(0, len(out), 16):
                 part = out[i : i + 16]
@@ -317,8 +321,11 @@ def trie_scores(docs: DataFrame) -> DataFrame:
     requests = dealt.groupBy("batch").applyInArrow(ask, "batch int, shard int, payload binary")
     requests.repartition(shards, "shard").mapInArrow(answer, "batch int, shard int, payload binary").write.parquet(f"{folder}/replies")
     replies = spark.read.parquet(f"{folder}/replies")
-    sums = [_unpacked(bytes(r.payload), REPLY)[1][0] for r in replies.where("batch = -1").select("payload").toLocalIterator()]
-    v, n = (int(sum(x[i] for x in sums)) for i in (0, 1))
+    sums = {2: np.zeros(2, np.int64), 3: np.zeros(len(hot), np.int64)}
+    for r in replies.where("batch = -1").select("payload").toLocalIterator():
+        kind, (x,) = _unpacked(bytes(r.payload), REPLY)
+        sums[kind] += x
+    (v, n), t_hot = sums[2].tolist(), sums[3]
     starts = seen.where(F.col("w") == START).select("c").first()
     n_start = int(starts.c) if starts else 0
     schema = f"doc_id {key}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
@@ -336,7 +343,9 @@ def trie_scores(docs: DataFrame) -> DataFrame:
         new = np.r_[True, (b.context[1:] != b.context[:-1]) | (b.pair_shard[1:] != b.pair_shard[:-1])] if len(b.context) else np.zeros(0, bool)
         stretch = np.cumsum(new) - 1
         names, at = np.unique(b.context[new], return_inverse=True)
-        t = np.bincount(at, weights=t_part) * np.where(np.isin(names, hot), SPREAD / np.bincount(at), 1) if len(names) else np.zeros(0)
+        t = np.bincount(at, weights=t_part) if len(names) else np.zeros(0)
+        is_hot = np.isin(names, hot)
+        t[is_hot] = t_hot[np.searchsorted(hot, names[is_hot])]
         c = count[b.of_token]
         p1 = (c + 0.1) / (n + 0.1 * (v + 1))
         # The count of a context is that of its token, and of documents at a start.

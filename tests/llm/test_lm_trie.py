@@ -76,5 +76,20 @@ def test_scores_equal_the_definition(spark, monkeypatch, share):
         assert abs(f[6] - w[6]) <= 0.04 * f[2], (f, w)  # half a step of quantisation a token, and the estimate of T of spread contexts
 
 
+@pytest.mark.parametrize("batch_bytes", [2000, 12 << 20])
+def test_successors_of_hot_contexts_are_exact(spark, monkeypatch, batch_bytes):
+    """Many shards, where most residues of a hot context hold nothing, and fewer shards than residues."""
+    monkeypatch.setattr(lm_trie, "HOT_SHARE", 0.03)
+    monkeypatch.setattr(lm_trie, "BATCH_BYTES", batch_bytes)
+    pick = random.Random(2)
+    # Held-out rows ask for known words after "of" that never follow it in training: their scores go by T("of") = 3 alone.
+    after = lambda i: f"w{pick.randrange(400)}" if lm_trie.held_out(i) else pick.choice("xyz")
+    rows = [(i, " ".join(f"of {after(i)} the w{pick.randrange(400)}" for _ in range(20))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = plain(rows)
+    for r in trie_scores(docs).collect():
+        assert abs(r.score - want[r.doc_id][5]) <= 0.0175 * r.n_tokens, (r, want[r.doc_id])  # half a step of quantisation a token
+
+
 def test_empty(spark):
     assert trie_scores(spark.createDataFrame([], "doc_id long, text string")).count() == 0
