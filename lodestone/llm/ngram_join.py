@@ -302,10 +302,11 @@ def jaccard_components(docs: DataFrame, one_task: int = ONE_TASK_LINKS) -> DataF
     frequent = np.sort(np.array([r.h for r in often.select("h").collect()], np.int64).view(np.uint64))
     buckets = max(spark.sparkContext.defaultParallelism, 1 + (total[1] or 0) * 7 // BUCKET_BYTES)
 
+    # Copies in several tasks send their frequent shingles once each; a set holds them once.
     prefix = (
         _shared(docs, frequent, buckets)
         .groupBy("node", "n", "n_rare")
-        .agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("x"), F.count(F.when(F.col("df") < 2**63 - 1, 1)).alias("n_shared"))
+        .agg(F.array_sort(F.collect_set(F.struct("df", "h"))).alias("x"), F.count(F.when(F.col("df") < 2**63 - 1, 1)).alias("n_shared"))
         .withColumn("alone", F.col("n_rare") - F.col("n_shared"))
         .withColumn("reach", F.col("n") - F.ceil(F.col("n") * 3 / 4) + 1 - F.col("alone"))
         .where("reach > 0")

@@ -68,6 +68,22 @@ def test_components_equal_brute_force(spark, monkeypatch, seed, least, one_task)
     assert got == brute(rows)
 
 
+def test_copies_in_every_partition(spark, monkeypatch):
+    """All shingles are frequent; each partition has an exact copy of every text, so a prefix must not hold a shingle twice."""
+    monkeypatch.setattr(ngram_join, "FREQUENT_LEAST", 1)
+    pick = random.Random(3)
+    texts = []
+    for family in range(30):
+        base = [f"{family}w{i}" for i in range(60)]
+        near = list(base)
+        near[pick.randrange(5, 55)] = "changed"
+        texts += [" ".join(base), " ".join(near)]
+    rows = [(100 * copy + k, x) for copy in range(16) for k, x in enumerate(texts)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 16), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_components(docs).collect()}
+    assert got == {i: i % 100 // 2 * 2 for i, _ in rows}
+
+
 def test_one_of_each_and_odd_rows(spark):
     text = "a b c d e f g h i j k l"
     docs = spark.createDataFrame([(4, text, "x"), (2, text, "y"), (2, text, "y"), (None, text, "z"), (7, None, "n"), (7, "other words here", "n"), (9, "", "n")], "doc_id long, text string, source string")
