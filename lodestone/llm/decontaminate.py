@@ -2,8 +2,9 @@
 
 Numbers, names and units of a text become typed placeholders; five-word windows of what is left are hash-joined between
 benchmark and corpus, so a question whose numbers or names were changed still meets its item. For the placeholders in
-matching windows the slot values are then compared: within one alignment an item's value must always go with the same
-value of the document and the other way round, else the match is chance.
+matching windows the slot values are then compared, without punctuation at their edges: within one alignment an item's value
+goes with the document's value that it meets in most windows. Windows with another value count only where all their values
+are the item's own; two values of an item may become one in the document.
 
 A word counts as a name where it has a capital and follows, in the same window, a word that does not end a sentence; the
 first word of a window is never a name. So a window is the same wherever it stands.
@@ -41,6 +42,11 @@ def _stripped(text: Column) -> Column:
     return F.regexp_replace(out, r"(?<=^|\s)[\"'(\[]+(?=[\p{L}\p{N}<$€£])", "")
 
 
+def _value_text(text: Column) -> Column:
+    """Lower-cased and stripped, also before a sign: places of words stay."""
+    return F.regexp_replace(_stripped(F.lower(text)), r"(?<=^|\s)[\"'(\[]+(?=[+-])", "")
+
+
 def _words(text: Column) -> Column:
     t = F.trim(text, F.lit(SPACE))
     return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, r"[\x20\x09-\x0D]+"))
@@ -88,13 +94,13 @@ def template_windows(texts: DataFrame, keys: list[str], text: str = "text") -> D
     named = F.regexp_replace(F.col("_typed"), NAME_PATTERN, NAME)
     step = texts.select(*keys, t.alias("_t"), _typed(t).alias("_typed")).select(
         *keys,
-        _words(F.col("_t")).alias("_o"),
+        _words(_value_text(F.col("_t"))).alias("_o"),
         _words(_stripped(F.lower("_typed"))).alias("_f"),
         _words(_stripped(F.lower(named))).alias("_c"),
     )
     # Values are needed only in texts with a placeholder.
     holder = lambda c: c.startswith("<") & c.rlike("<(?:num|unit|name)>")
-    value = lambda words: F.transform(words, lambda c, i: F.when(holder(c), F.lower(F.get(F.col("_o"), i))).otherwise(F.lit("")))
+    value = lambda words: F.transform(words, lambda c, i: F.when(holder(c), F.get(F.col("_o"), i)).otherwise(F.lit("")))
     any_slot = F.exists("_c", holder)
     none = F.array().cast("array<string>")
     step = step.select(
@@ -167,15 +173,25 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, threshold: float =
     )
     met = met.select("doc_id", "item", "item_id", "item_windows", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), pairs.alias("pairs"))
     # One alignment of a document and an item: bounded by the item's length.
-    aligned = met.groupBy("doc_id", "item", "item_id", "item_windows", "shift").agg(
-        F.collect_set("item_at").alias("at"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
-    )
-    one_to_one = (F.size(F.array_distinct(F.transform("pairs", lambda x: x["theirs"]))) == F.size("pairs")) & (
-        F.size(F.array_distinct(F.transform("pairs", lambda x: x["ours"]))) == F.size("pairs")
+    key = ["doc_id", "item", "item_id", "item_windows"]
+    aligned = met.groupBy(*key, "shift").agg(F.collect_set(F.struct("item_at", "pairs")).alias("windows"))
+    aligned = aligned.withColumn("slots", F.flatten(F.transform(F.filter("windows", lambda x: x["pairs"].isNotNull()), lambda x: x["pairs"])))
+    # Each value's partners, those of most windows first; of equal ones the value itself, then the smallest.
+    votes = F.transform(
+        F.array_distinct("slots"),
+        lambda p: F.struct(
+            p["theirs"].alias("theirs"), (-F.size(F.filter("slots", lambda q: q == p))).alias("n"), (p["theirs"] != p["ours"]).alias("other"), p["ours"].alias("ours")
+        ),
     )
-    aligned = aligned.where((F.size("pairs") == 0) | one_to_one)
-    held = aligned.groupBy("doc_id", "item", "item_id", "item_windows").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n_held"), F.max(F.size("pairs") > 0).alias("has_slots")
+    aligned = aligned.withColumn("votes", F.array_sort(votes))
+    first = F.filter("votes", lambda v, i: (i == 0) | (F.get(F.col("votes"), i - 1)["theirs"] != v["theirs"]))
+    aligned = aligned.withColumn("chosen", F.transform(first, lambda v: F.struct(v["theirs"].alias("theirs"), v["ours"].alias("ours"))))
+    verbatim = lambda x: F.forall(x["pairs"], lambda p: p["theirs"] == p["ours"])
+    agreed = lambda x: F.forall(x["pairs"], lambda p: F.array_contains("chosen", p))
+    aligned = aligned.withColumn("windows", F.filter("windows", lambda x: x["pairs"].isNull() | verbatim(x) | agreed(x)))
+    held = aligned.groupBy(*key).agg(
+        F.size(F.array_distinct(F.flatten(F.collect_list("windows.item_at")))).alias("n_held"),
+        F.max(F.exists("windows", lambda x: F.coalesce(F.size(x["pairs"]) > 0, F.lit(False)))).alias("has_slots"),
     )
     return held.where(F.col("n_held") >= threshold * F.col("item_windows")).select(
         "doc_id", "item_id", (F.col("n_held") / F.col("item_windows")).alias("share"), "n_held", "has_slots"

@@ -41,6 +41,18 @@ def test_finds_copies_and_reparameterised_questions(spark):
     assert kept.columns == d.columns and sorted(r.doc_id for r in kept.collect()) == [3, 3, 4, 6, 7, 8]
 
 
+def test_one_other_value_costs_its_windows_only(spark):
+    long = "Every day the old shop sells 7 boxes of tea on a quiet day and later " + " ".join(f"word{chr(97 + i)}" for i in range(20)) + " until 7 boxes are left in the dark cellar"
+    edited = long.replace("until 7", "until 8")
+    comma = "We count 120, then we rest and walk home and count 120 again before the long night ends"
+    merged = "He reads 5 books in spring and 9 books in autumn while snow falls over the old town"
+    docs = [(1, MORE + edited, "x"), (2, MORE + comma.replace("120,", "120"), "x"), (3, merged.replace("5", "6").replace("9", "6"), "x"), (4, long.replace("until 7 boxes are left in the", "nothing was seen by us and"), "x")]
+    d, b = run(spark, docs, [(1, long), (2, comma), (3, merged)])
+    got = {(r.doc_id, r.item_id): r.n_held for r in benchmark_matches(d, b).collect()}
+    n = len(long.split()) - 4
+    assert got[1, 1] == n - 5 and got[2, 2] == len(comma.split()) - 4 and got[3, 3] == len(merged.split()) - 4
+
+
 def test_short_items_and_large_benchmarks(spark, monkeypatch):
     d, b = run(spark, [(1, "only three words", "x"), (2, "here only three words stand", "x")], [(1, "Only three words.")])
     assert [r.doc_id for r in benchmark_matches(d, b).collect()] == [1]
