@@ -6,8 +6,10 @@ matching windows the slot values are then compared, without punctuation at their
 goes with the document's value that it meets in most windows. Windows with another value count only where all their values
 are the item's own; two values of an item may become one in the document.
 
-A word counts as a name where it has a capital and follows, in the same window, a word that does not end a sentence; the
-first word of a window is never a name. So a window is the same wherever it stands.
+A window has up to two templates. In the first a word counts as a name where it has a capital and follows, in the same
+window, a word that does not end a sentence; the first word of a window is never a name. In the second, where it differs,
+every word with a capital is a name, so that names at the start of a text, sentence or window may change too. Windows meet
+by either. So a window is the same wherever it stands.
 
 Cases: a null or empty text is clean; items without words match nothing; an item of fewer than five words is one window
 and matches only a text that is that sequence; repeated item rows with an equal (id, text) count once, and the texts of an
@@ -64,32 +66,41 @@ def _typed(t: Column) -> Column:
 
 #: A word that counts as a name where it is not the first of its window.
 NAME_PATTERN = r"(?<=[^.!?:\s]\s)[\"'(]*(\p{Lu}[\p{L}'’-]*)"
+#: A word that counts as a name in the second template.
+CAPITAL_PATTERN = r"(?<=^|\s)[\"'(\[]*(\p{Lu}[\p{L}'’-]*)"
+CAPITAL = "<cap>"
 
 
 def window_hashes(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """keys, n_windows, at, h: the templates alone, on arrays of numbers."""
     t = F.coalesce(F.col(text), F.lit(""))
-    marked = F.regexp_replace(_typed(t), NAME_PATTERN, NAME + "$1")
+    marked = F.regexp_replace(F.regexp_replace(_typed(t), NAME_PATTERN, NAME + "$1"), CAPITAL_PATTERN, CAPITAL + "$1")
     step = texts.select(*keys, _words(_stripped(F.lower(marked))).alias("_m"))
-    name = lambda x: x.startswith(NAME)
+    name, capital = lambda x: x.startswith(NAME), lambda x: x.startswith(CAPITAL)
+    after = lambda x, mark: F.substring(x, len(mark) + 1, 1 << 30)
     step = step.select(
         *keys,
-        F.transform("_m", lambda x: F.xxhash64(F.when(name(x), F.substring(x, len(NAME) + 1, 1 << 30)).otherwise(x))).alias("_f"),
-        F.transform("_m", lambda x: F.xxhash64(F.when(name(x), F.lit(NAME)).otherwise(x))).alias("_c"),
+        F.transform("_m", lambda x: F.xxhash64(F.when(name(x), after(x, NAME)).when(capital(x), after(x, CAPITAL)).otherwise(x))).alias("_f"),
+        F.transform("_m", lambda x: F.xxhash64(F.when(name(x), F.lit(NAME)).when(capital(x), after(x, CAPITAL)).otherwise(x))).alias("_c"),
+        F.transform("_m", lambda x: F.xxhash64(F.when(name(x) | capital(x), F.lit(NAME)).otherwise(x))).alias("_b"),
     )
-    f, c = F.col("_f"), F.col("_c")
-    windows = (
-        F.when(F.size(c) >= WINDOW, F.transform(F.sequence(F.lit(0), F.size(c) - WINDOW), lambda i: F.xxhash64(F.get(f, i), *[F.get(c, i + k) for k in range(1, WINDOW)])))
-        .when(F.size(c) > 0, F.array(F.xxhash64(F.lit("short"), F.concat(F.slice(f, 1, 1), F.slice(c, 2, WINDOW)))))
-        .otherwise(F.array().cast("array<bigint>"))
-    )
-    step = step.select(*keys, windows.alias("_w"))
-    out = step.select(*keys, F.size("_w").alias("n_windows"), F.posexplode_outer("_w").alias("at", "h"))
-    return out.where(F.col("h").isNotNull())
+
+    def windows(f: Column, c: Column) -> Column:
+        return (
+            F.when(F.size(c) >= WINDOW, F.transform(F.sequence(F.lit(0), F.size(c) - WINDOW), lambda i: F.xxhash64(F.get(f, i), *[F.get(c, i + k) for k in range(1, WINDOW)])))
+            .when(F.size(c) > 0, F.array(F.xxhash64(F.lit("short"), F.concat(F.slice(f, 1, 1), F.slice(c, 2, WINDOW)))))
+            .otherwise(F.array().cast("array<bigint>"))
+        )
+
+    step = step.select(*keys, windows(F.col("_f"), F.col("_c")).alias("_w"), windows(F.col("_b"), F.col("_b")).alias("_v"))
+    # Second templates come after the first ones, null where they are the same.
+    both = F.concat("_w", F.zip_with("_w", "_v", lambda w, v: F.nullif(v, w)))
+    out = step.select(*keys, F.size("_w").alias("n_windows"), F.posexplode_outer(both).alias("at", "h"))
+    return out.where(F.col("h").isNotNull()).withColumn("at", F.col("at") % F.col("n_windows"))
 
 
 def template_windows(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """keys, at (position), h (hash of the template), slots (values at placeholders, joined; null without any), n_windows."""
+    """keys, at (position), h (hash of a template), slots (values at placeholders, joined; null without any), n_windows."""
     t = F.coalesce(F.col(text), F.lit(""))
     named = F.regexp_replace(F.col("_typed"), NAME_PATTERN, NAME)
     step = texts.select(*keys, t.alias("_t"), _typed(t).alias("_typed")).select(
@@ -97,43 +108,48 @@ def template_windows(texts: DataFrame, keys: list[str], text: str = "text") -> D
         _words(_value_text(F.col("_t"))).alias("_o"),
         _words(_stripped(F.lower("_typed"))).alias("_f"),
         _words(_stripped(F.lower(named))).alias("_c"),
+        _words(_stripped(F.lower(F.regexp_replace(F.col("_typed"), CAPITAL_PATTERN, NAME)))).alias("_b"),
     )
     # Values are needed only in texts with a placeholder.
     holder = lambda c: c.startswith("<") & c.rlike("<(?:num|unit|name)>")
     value = lambda words: F.transform(words, lambda c, i: F.when(holder(c), F.get(F.col("_o"), i)).otherwise(F.lit("")))
-    any_slot = F.exists("_c", holder)
+    any_slot = F.exists("_b", holder)
     none = F.array().cast("array<string>")
     step = step.select(
-        *keys, "_f", "_c",
+        *keys, "_f", "_c", "_b",
         F.when(any_slot, value(F.col("_f"))).otherwise(none).alias("_vf"),
         F.when(any_slot, value(F.col("_c"))).otherwise(none).alias("_vc"),
+        F.when(any_slot, value(F.col("_b"))).otherwise(none).alias("_vb"),
     )
-    f, c, vf, vc = (F.col(x) for x in ("_f", "_c", "_vf", "_vc"))
-
-    def window(i: Column) -> Column:
-        values = F.array_join(F.array(F.get(vf, i), *[F.get(vc, i + k) for k in range(1, WINDOW)]), "\x1f")
-        return F.struct(
-            i.alias("at"),
-            F.xxhash64(F.get(f, i), *[F.get(c, i + k) for k in range(1, WINDOW)]).alias("h"),
-            F.when(F.size(vc) > 0, F.nullif(values, F.lit("\x1f" * (WINDOW - 1)))).alias("slots"),
-        )
 
-    short = F.array(
-        F.struct(
-            F.lit(0).alias("at"),
-            F.xxhash64(F.lit("short"), F.array_join(F.concat(F.slice(f, 1, 1), F.slice(c, 2, WINDOW)), " ")).alias("h"),
-            F.when(F.size(vc) > 0, F.array_join(F.concat(F.slice(vf, 1, 1), F.slice(vc, 2, WINDOW)), "\x1f")).alias("slots"),
+    def windows(f: Column, c: Column, vf: Column, vc: Column) -> Column:
+        def window(i: Column) -> Column:
+            values = F.array_join(F.array(F.get(vf, i), *[F.get(vc, i + k) for k in range(1, WINDOW)]), "\x1f")
+            return F.struct(
+                i.alias("at"),
+                F.xxhash64(F.get(f, i), *[F.get(c, i + k) for k in range(1, WINDOW)]).alias("h"),
+                F.when(F.size(vc) > 0, F.nullif(values, F.lit("\x1f" * (WINDOW - 1)))).alias("slots"),
+            )
+
+        short = F.array(
+            F.struct(
+                F.lit(0).alias("at"),
+                F.xxhash64(F.lit("short"), F.array_join(F.concat(F.slice(f, 1, 1), F.slice(c, 2, WINDOW)), " ")).alias("h"),
+                F.when(F.size(vc) > 0, F.array_join(F.concat(F.slice(vf, 1, 1), F.slice(vc, 2, WINDOW)), "\x1f")).alias("slots"),
+            )
         )
-    )
-    windows = (
-        F.when(F.size(c) >= WINDOW, F.transform(F.sequence(F.lit(0), F.size(c) - WINDOW), window))
-        .when(F.size(c) > 0, short)
-        .otherwise(F.array().cast("array<struct<at:int,h:bigint,slots:string>>"))
-    )
-    step = step.select(*keys, windows.alias("_w"))
+        return (
+            F.when(F.size(c) >= WINDOW, F.transform(F.sequence(F.lit(0), F.size(c) - WINDOW), window))
+            .when(F.size(c) > 0, short)
+            .otherwise(F.array().cast("array<struct<at:int,h:bigint,slots:string>>"))
+        )
+
+    f, c, b, vf, vc, vb = (F.col(x) for x in ("_f", "_c", "_b", "_vf", "_vc", "_vb"))
+    step = step.select(*keys, windows(f, c, vf, vc).alias("_w"), windows(b, b, vb, vb).alias("_v"))
+    second = F.zip_with("_w", "_v", lambda w, v: F.when(w["h"] != v["h"], v))
     # An inner explode would be preceded by a filter on the size of its array, for which the optimizer computes all of the
     # above a second time, within every lambda.
-    out = step.select(*keys, F.size("_w").alias("n_windows"), F.explode_outer("_w").alias("_x"))
+    out = step.select(*keys, F.size("_w").alias("n_windows"), F.explode_outer(F.concat("_w", second)).alias("_x"))
     return out.select(*keys, "n_windows", "_x.at", "_x.h", "_x.slots").where(F.col("h").isNotNull())
 
 

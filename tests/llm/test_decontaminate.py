@@ -53,6 +53,18 @@ def test_one_other_value_costs_its_windows_only(spark):
     assert got[1, 1] == n - 5 and got[2, 2] == len(comma.split()) - 4 and got[3, 3] == len(merged.split()) - 4
 
 
+def test_names_at_the_start_of_texts_and_sentences(spark):
+    item = "Tom has 5 apples. Tom gives 2 to Ann. Tom then buys 9 more pears. How many does he have now?"
+    other = item.replace("Tom", "Carl").replace("Ann", "Eve").replace("5", "6").replace("9", "8")
+    mixed = item.replace("Tom has", "Carl has").replace("Tom gives", "Max gives").replace("Tom then", "Jim then").replace("Ann", "Eve")
+    short = "Paris is large"
+    docs = [(1, other, "x"), (2, MORE + other, "x"), (3, mixed, "x"), (4, "So we think Rome is large", "x"), (5, item.lower(), "x")]
+    d, b = run(spark, docs, [(1, item), (2, short)])
+    got = {(r.doc_id, r.item_id): r.n_held for r in benchmark_matches(d, b).collect()}
+    n = len(item.split()) - 4
+    assert got[1, 1] == got[2, 1] == n and (3, 1) not in got
+
+
 def test_short_items_and_large_benchmarks(spark, monkeypatch):
     d, b = run(spark, [(1, "only three words", "x"), (2, "here only three words stand", "x")], [(1, "Only three words.")])
     assert [r.doc_id for r in benchmark_matches(d, b).collect()] == [1]
