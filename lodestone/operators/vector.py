@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,13 +41,26 @@ def top_k(store: DataFrame, query: list[float], k: int = 5, id_col: str = "id",
     return scored.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), id_col)))  # k rows
 
 
-#: Up to so many query vectors are sent to every task; more are taken in blocks of this size.
+#: Up to about so many query vectors are sent to every task; more are taken in blocks of this size.
 QUERY_BLOCK = 2000
 
 
+def _blocks(queries: DataFrame, query_id: str, rows: int) -> list[DataFrame]:
+    """queries in blocks of about so many rows; the rows of a query stay together."""
+    n = -(-queries.count() // rows)
+    if n <= 1:
+        return [queries]
+    return [queries.where(F.pmod(F.xxhash64(query_id), F.lit(n)) == i) for i in range(n)]
+
+
 def top_k_each(store: DataFrame, queries: DataFrame, k: int, id_col: str = "id", query_id: str = "query_id", vector: str = "embedding", drop_self: bool = False) -> DataFrame:
-    """The k most similar rows for each of a bounded block of queries (query_id, query)."""
-    block = F.broadcast(queries.limit(QUERY_BLOCK))
+    """The k most similar rows for each of the queries (query_id, query), which are counted first and taken in blocks."""
+    found = [_top_k_block(store, block, k, id_col, query_id, vector, drop_self) for block in _blocks(queries, query_id, QUERY_BLOCK)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _top_k_block(store: DataFrame, queries: DataFrame, k: int, id_col: str, query_id: str, vector: str, drop_self: bool) -> DataFrame:
+    block = F.broadcast(queries)
     pairs = store.select(F.col(id_col).alias("id"), F.col(vector).alias("_v")).join(block, F.lit(True))
     if drop_self:
         pairs = pairs.where(F.col("id") != F.col(query_id))
@@ -83,9 +97,11 @@ def hash_embedding(texts: DataFrame, id_col: str, text: str, dimension: int = 64
 
 
 def sparse_scores(documents: DataFrame, queries: DataFrame) -> DataFrame:
-    """Cosines of two long-form tables of unit vectors: (query_id, id, score); equi-join on the dimension."""
+    """Cosines of two long-form tables of unit vectors: (query_id, id, score); equi-join on the dimension, by blocks of queries."""
     q = queries.select(F.col("id").alias("query_id"), "idx", F.col("weight").alias("wq"))
-    return documents.join(F.broadcast(q.limit(64 * QUERY_BLOCK)), "idx").groupBy("query_id", "id").agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.sum(F.col("weight") * F.col("wq")))).alias("score"))
+    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.sum(F.col("weight") * F.col("wq")))).alias("score")
+    found = [documents.join(F.broadcast(block), "idx").groupBy("query_id", "id").agg(score) for block in _blocks(q, "query_id", 64 * QUERY_BLOCK)]
+    return reduce(DataFrame.unionByName, found)
 
 
 @dataclass(frozen=True)

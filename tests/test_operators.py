@@ -87,6 +87,22 @@ def test_cycles_components_paths(spark):
     assert [r.edge_type for r in G.last_edges(log).collect()] == ["IMPORTS"]
 
 
+def test_more_queries_than_a_block(spark, monkeypatch):
+    monkeypatch.setattr(V, "QUERY_BLOCK", 2)
+    pick = random.Random(4)
+    unit = lambda x: [y / sum(z * z for z in x) ** 0.5 for y in x]
+    stored = {i: unit([pick.random() for _ in range(60)]) for i in range(15)}
+    asked = {i: unit([pick.random() for _ in range(60)]) for i in range(9)}
+    want = {(q, i): sum(a * b for a, b in zip(x, y, strict=True)) for q, x in asked.items() for i, y in stored.items()}
+    store = spark.createDataFrame(list(stored.items()), "id long, embedding array<double>")
+    queries = spark.createDataFrame(list(asked.items()), "query_id long, query array<double>")
+    best = {(q, r + 1): i for q in asked for r, i in enumerate(sorted(stored, key=lambda i: (-want[q, i], i))[:3])}
+    assert {(r.query_id, r["rank"]): r.id for r in V.top_k_each(store, queries, 3).collect()} == best
+    long = lambda rows: spark.createDataFrame([(i, k, x) for i, v in rows.items() for k, x in enumerate(v)], "id long, idx int, weight double")
+    got = {(r.query_id, r.id): r.score for r in V.sparse_scores(long(stored), long(asked)).collect()}
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in want)
+
+
 def test_hybrid_search(spark):
     scored = spark.createDataFrame([("s1", 0.9), ("s2", 0.8), ("s3", 0.3), ("x", 0.2), ("y", 0.1)], "id string, score double")
     edges = spark.createDataFrame([("s1", "x", "CALLS"), ("x", "z", "CALLS"), ("s1", "y", "IMPORTS"), ("s2", "x", "CALLS")], "src string, dst string, edge_type string")
