@@ -116,17 +116,29 @@ def simple_cycles(edges: DataFrame, max_length: int = 6, limit: int | None = Non
     return out.orderBy("length", "cycle").limit(limit) if limit is not None else out
 
 
-def strong_components(edges: DataFrame, max_rounds: int = 30) -> DataFrame:
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Edges without those of nodes that nothing leads to or from, again and again: all edges of cycles stay."""
+    n = edges.count()
+    while n:
+        sources, targets = edges.select("src").distinct(), edges.select("dst").distinct()
+        kept = edges.join(targets.select(F.col("dst").alias("src")), "src", "left_semi").join(sources.select(F.col("src").alias("dst")), "dst", "left_semi")
+        edges, before = written(kept.select("src", "dst"), "scc"), n
+        n = edges.count()
+        if n == before:
+            break
+    return edges
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node of each strongly connected component of two nodes or more.
 
     Coloring: the smallest node that reaches a node, and the smallest that it reaches, are spread to a fixed point; nodes
-    with both equal are a component and leave; the rest goes on.
+    with both equal are a component and leave; the rest goes on until nothing is left, which it does as each round takes the
+    smallest node at least. Before each round chains that lead into cycles or out of them are trimmed.
     """
     left = written(edges.select("src", "dst").where("src <> dst").distinct(), "scc")
     done = None
-    for _ in range(max_rounds):
-        if left.isEmpty():
-            break
+    while not (left := _trimmed(left)).isEmpty():
         nodes = left.select(F.col("src").alias("node")).union(left.select("dst")).distinct()
         color = _spread(nodes.withColumn("c", F.col("node")), left, "src", "dst")
         inside = left.join(color.select(F.col("node").alias("src"), F.col("c").alias("cs")), "src").join(color.select(F.col("node").alias("dst"), F.col("c").alias("cd")), "dst").where("cs = cd").select("src", "dst", "cs")

@@ -87,6 +87,14 @@ def test_cycles_components_paths(spark):
     assert [r.edge_type for r in G.last_edges(log).collect()] == ["IMPORTS"]
 
 
+def test_components_behind_many_ascending_nodes(spark):
+    """Each round of colors alone takes only the smallest node of these."""
+    rows = [(a, b) for a in range(33) for b in range(a + 1, 34)] + [(33, 40), (40, 41), (41, 42), (42, 40), (42, 50)]
+    found = G.strong_components(spark.createDataFrame(rows, "src long, dst long"))
+    assert {(r.node, r.component) for r in found.collect()} == {(x, 40) for x in (40, 41, 42)}
+    assert G.strong_components(spark.createDataFrame(rows[:50], "src long, dst long")).count() == 0
+
+
 def test_more_queries_than_a_block(spark, monkeypatch):
     monkeypatch.setattr(V, "QUERY_BLOCK", 2)
     pick = random.Random(4)
