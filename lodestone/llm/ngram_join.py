@@ -29,6 +29,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lodestone.session import checkpoint_root
 
@@ -285,8 +286,8 @@ def _possible(one: str, two: str):
     return (4 * F.least(n1, n2) >= 3 * F.greatest(n1, n2)) & (7 * F.least(r1, r2) >= 3 * (n1 + n2))
 
 
-def jaccard_components(docs: DataFrame, one_task: int = ONE_TASK_LINKS) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id."""
+def _labelled(docs: DataFrame, one_task: int = ONE_TASK_LINKS) -> DataFrame:
+    """Per row: doc_id, n, node, label (of its component; null without shingles)."""
     import pyarrow as pa
 
     spark = docs.sparkSession
@@ -377,17 +378,41 @@ def jaccard_components(docs: DataFrame, one_task: int = ONE_TASK_LINKS) -> DataF
         found = found.unionByName(kept(_verified(more.distinct(), sets), f"links_{turn}"))
     roots = components(found, f"{folder}/round_3", one_task)
 
-    label = F.coalesce("root", "node")
-    known = described.where("n > 0").select("doc_id", "n", "node").join(roots, "node", "left").select("doc_id", "n", label.alias("label"))
+    known = described.where("n > 0").select("doc_id", "n", "node").join(roots, "node", "left")
+    known = known.select("doc_id", "n", "node", F.coalesce("root", "node").alias("label"))
+    return known.unionByName(described.where("n = 0").select("doc_id", "n", "node", F.lit(None).cast("bigint").alias("label")))
+
+
+def jaccard_components(docs: DataFrame, one_task: int = ONE_TASK_LINKS) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id."""
+    rows = _labelled(docs, one_task)
+    known = rows.where("n > 0")
     lowest = known.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     joined = known.join(lowest, "label").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
-    alone = described.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    alone = rows.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return joined.unionByName(alone)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs, in their own columns, with the row of the smallest doc_id of each component; of equal ids one row is kept."""
-    found = jaccard_components(docs)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """docs, in their own columns, with a row of the smallest doc_id of each component and all rows without words.
+
+    Rows are told apart by id and set, so different texts that share an id, or have none, all stay. A row without words is
+    left out only where a text is kept under its own id.
+    """
+    import pyarrow as pa
+
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("x")
+    keep = _labelled(docs).where("n > 0").groupBy("label").agg(least).select(F.col("x.doc_id").alias("_id"), F.col("x.node").alias("_set"))
+    columns = docs.columns
+    at = columns.index("text")
+
+    def name(batches):
+        for batch in batches:
+            nodes = [signature(s) if len(s) else None for s in map(shingles, batch.column(at).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.int64())], names=[*columns, "_node"])
+
+    named = docs.mapInArrow(name, StructType([*docs.schema.fields, StructField("_node", LongType())]))
+    same_id = F.col("doc_id").eqNullSafe(F.col("_id"))
+    texts = named.where("_node is not null").join(keep, same_id & (F.col("_node") == F.col("_set")), "left_semi").dropDuplicates(["doc_id", "_node"])
+    bare = docs.where(F.coalesce(F.trim("text", F.lit(" \t\n\x0b\f\r")), F.lit("")) == "").join(keep.select("_id"), F.col("doc_id") == F.col("_id"), "left_anti")
+    return texts.drop("_node").unionByName(bare)

@@ -92,3 +92,12 @@ def test_one_of_each_and_odd_rows(spark):
     kept = one_of_each(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 7, 9]
     assert jaccard_components(docs.limit(0)).count() == 0
+
+
+def test_rows_that_share_an_id_or_have_none_stay(spark):
+    texts = ["red apples fall from the old tree", "blue boats sail over a calm sea", "green hills rise behind our small town"]
+    rows = [(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, "two more words"), (6, texts[2]), (5, texts[2]), (8, None), (8, ""), (None, ""), (5, " "), (6, "")]
+    kept = one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    # (6, "") stays, as no text is kept under 6; (5, " ") goes, as texts are kept under 5.
+    want = [(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, "two more words"), (8, None), (8, ""), (None, ""), (6, "")]
+    assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, want))
