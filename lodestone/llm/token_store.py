@@ -6,7 +6,7 @@ is a recipe of chunk addresses with a Merkle root over them; parts of the recipe
 over their documents, and one root stands over all parts.
 
 Layout, all Parquet: ``loose/kind=chunk`` (address, n, payload: ids as little-endian integers of ``width`` bytes), ``recipes``
-(part, row_id, doc_id, n_tokens, addresses, root) and ``manifest`` (part, n_docs, n_tokens, root). Chunks are deduplicated by
+(part, row_id, doc_id, n_tokens, addresses, root) and ``manifest`` (part, at, n_docs, n_tokens, root). Chunks are deduplicated by
 their address in one aggregation that first drops repetitions where they arise; what is read back is checked against its
 addresses and roots, and CRCs of documents are combined from those of chunks, so payloads never travel to their readers.
 
@@ -26,9 +26,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.bpe import PieceCache, Splitter
+from lodestone.llm import flat
 from lodestone.session import checkpoint_root
 
+#: Children of a node of a Merkle tree, and levels of it (2**30 documents a part; more get several roots).
+FAN, LEVELS = 1024, 3
 SPAN = 8
 #: A cut on average every 2**BITS ids, never closer than LEAST or farther than MOST.
 BITS, LEAST, MOST = 9, 64, 4096
@@ -60,32 +62,83 @@ def address(payload: bytes) -> bytes:
     return hashlib.blake2b(payload, digest_size=16).digest()
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in the vocabulary of a byte-level tokenizer: itself where it can be seen, else the next from U+0100."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class LibraryEncoder:
-    """The tokenizers library over stretches of text that its pattern never joins; only new stretches reach the library."""
+    """The tokenizers library over a column of texts.
+
+    For a byte-level model without a normalizer a slice of texts is cut where the library's pattern surely ends a match, and
+    each different piece goes through the library once; what pieces gave is kept within a bound. Texts that hold the string
+    of an added token, and all texts of other tokenizers, go through the library whole.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, max_known: int = 400_000, longest: int = 48):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known, self.split = PieceCache(lambda x: self.packed([x])[0], limit=1_000_000), Splitter()
+        self.added = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values() if x.content]
+        t = self.tokenizer
+        self.by_piece = (
+            isinstance(t.model, models.BPE) and isinstance(t.pre_tokenizer, pre_tokenizers.ByteLevel) and t.normalizer is None
+            and not t.pre_tokenizer.add_prefix_space and t.pre_tokenizer.use_regex and t.truncation is None and t.padding is None
+        )
+        self.letters = _byte_letters()
+        self.known: dict[bytes, bytes] = {}
+        self.max_known, self.longest = max_known, longest
 
     def packed(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.type).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """Letters, with a blank before them or not, are one match and need the model alone."""
+        out: list[bytes] = [b""] * len(pieces)
+        plain, other = [], []
+        for i, x in enumerate(pieces):
+            (plain if x[1:].isalpha() and (x[:1].isalpha() or x[:1] == b" ") else other).append(i)
+        said = b"\n".join([pieces[i] for i in plain]).decode("latin-1").translate(self.letters).split(self.letters[10])
+        tokenize, kind = self.tokenizer.model.tokenize, self.type
+        for i, x in zip(plain, said, strict=False):
+            out[i] = np.array([t.id for t in tokenize(x)], kind).tobytes()
+        for i, x in zip(other, self.packed([pieces[i].decode() for i in other]), strict=True):
+            out[i] = x
+        return out
+
+    def encode_rows(self, column, end_id: int) -> list[np.ndarray]:
+        """The ids of each row of an Arrow column, with the end id."""
+        end = np.array([end_id], self.type)
+        if not self.by_piece:
+            return [np.frombuffer(x, self.type) for x in (p + end.tobytes() for p in self.packed([x or "" for x in column.to_pylist()]))]
+        which, strings, ends = flat.pieces(column)
+        known, longest = self.known, self.longest
+        found = list(map(known.get, strings))
+        new = [i for i, x in enumerate(found) if x is None]
+        for i, value in zip(new, self.encode_pieces([strings[i] for i in new]), strict=True):
+            found[i] = value
+            if len(strings[i]) <= longest:
+                if len(known) >= self.max_known:
+                    known.clear()
+                known[strings[i]] = value
+        data, at = flat.joined(found, which, ends)
+        ids, at = np.frombuffer(data, self.type), (at // self.type.itemsize).tolist()
+        rows = [np.concatenate([ids[a:b], end]) for a, b in zip(at, at[1:])]  # noqa: B905
+        every = flat.flat_bytes(column)[0].tobytes()
+        if any(x in every for x in self.added):
+            for i, text in enumerate(column.to_pylist()):
+                if text and any(x in text.encode() for x in self.added):
+                    rows[i] = np.frombuffer(self.packed([text])[0] + end.tobytes(), self.type)
+        return rows
+
     def encode(self, texts: list[str | None], end_id: int) -> list[np.ndarray]:
-        parts = [self.split(x or "") for x in texts]
-        known = self.known
-        new = [x for x in set(chain.from_iterable(p[1:] for p in parts)) if x not in known and len(x) <= known.longest]
-        if len(known) + len(new) > known.limit:
-            known.clear()
-        if len(new) <= known.limit:
-            known.update(zip(new, self.packed([" " + x for x in new]), strict=True))
-        first = self.packed([p[0] for p in parts])
-        end = np.array([end_id], self.type).tobytes()
-        return [np.frombuffer(b"".join((f, *map(known.__getitem__, p[1:]), end)), self.type) for f, p in zip(first, parts, strict=True)]
+        import pyarrow as pa
+
+        return self.encode_rows(pa.array(texts, pa.large_string()), end_id)
 
 
 _encoders: dict[str, LibraryEncoder] = {}
@@ -97,39 +150,33 @@ def _encoder(path: str) -> LibraryEncoder:
     return _encoders[path]
 
 
-def _encoded(batch, path: str, end_id: int, key: bool = True, step: int = 500):
-    """(doc_id, ids) of the rows of an Arrow batch, a bounded number at a time."""
-    for at in range(0, batch.num_rows, step):
-        part = batch.slice(at, step)
-        texts = part.column(part.num_columns - 1).to_pylist()
-        keys = part.column(0).to_pylist() if key else [None] * len(texts)
-        yield from zip(keys, _encoder(path).encode(texts, end_id), strict=True)
-
-
 def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0) -> None:
     """Encode, cut, and write the three tables below the folder."""
     import pyarrow as pa
 
     spark = docs.sparkSession
 
-    names = ["address", "doc_id", "n", "addresses", "payload"]
+    names = ["deal", "address", "doc_id", "n", "addresses", "payload"]
     key_type = docs.schema["doc_id"].dataType.simpleString()
     both = f"address binary, doc_id {key_type}, n bigint, addresses array<binary>, payload binary"
 
     def encode(batches):
-        """Rows of chunks (address, n, payload) that are new to the task, and rows of recipes (their root, doc_id, n, addresses)."""
+        """Rows of chunks (address, n, payload) that are new to the task, and rows of recipes (their root, doc_id, n, addresses).
+
+        deal: chunks go by their address, recipes anywhere, so copies of a document don't meet in one task.
+        """
         seen: set[bytes] = set()
+        row = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for part in flat.slices(batch, 1):
                 chunks, roots, sizes, recipes = [], [], [], []
-                for _, ids in _encoded(part, tokenizer, end_id, key=False):
+                for ids in _encoder(tokenizer).encode_rows(part.column(1), end_id):
                     last, own = 0, []
                     for c in cuts(ids):
                         payload = ids[last:c].tobytes()
                         own.append(name := address(payload))
                         if name not in seen:
-                            if len(seen) > 500_000:
+                            if len(seen) > 200_000:
                                 seen.clear()
                             seen.add(name)
                             chunks.append((name, c - last, payload))
@@ -138,42 +185,48 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0) -
                     sizes.append(len(ids))
                     recipes.append(own)
                 n, m = len(roots), len(chunks)
+                addresses = [*roots, *(x[0] for x in chunks)]
+                deal = np.frombuffer(b"".join([x[:8] for x in addresses]), np.int64).copy()
+                deal[:n] += np.arange(row, row + n) * 0x61C8864680B583
+                row += n
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([*roots, *(x[0] for x in chunks)], pa.binary()), pa.concat_arrays([part.column(0), pa.nulls(m, part.column(0).type)]), pa.array([*sizes, *(x[1] for x in chunks)], pa.int64()),
+                        pa.array(deal), pa.array(addresses, pa.binary()), pa.concat_arrays([part.column(0), pa.nulls(m, part.column(0).type)]), pa.array([*sizes, *(x[1] for x in chunks)], pa.int64()),
                         pa.array([*recipes, *[None] * m], pa.list_(pa.binary())), pa.array([*[None] * n, *(x[2] for x in chunks)], pa.binary()),
                     ],
                     names=names,
                 )
 
     def unique(batches):
-        """All rows of an address are in one partition: the first of each chunk stays, and all recipes."""
+        """All chunks of an address are in one partition: the first of each stays, and all recipes."""
         import pyarrow.compute as pc
 
         seen: set[bytes] = set()
         for batch in batches:
             keep = []
-            for name, is_recipe in zip(batch.column(0).to_pylist(), pc.is_valid(batch.column(3)).to_pylist(), strict=True):
+            for name, is_recipe in zip(batch.column(1).to_pylist(), pc.is_valid(batch.column(4)).to_pylist(), strict=True):
                 keep.append(is_recipe or name not in seen)
                 if not is_recipe:
                     seen.add(name)
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(batch.columns[1:], names=names[1:]).filter(pa.array(keep, pa.bool_()))
 
     loose = f"{folder}/loose"
-    sent = docs.select("doc_id", "text").mapInArrow(encode, both).repartition("address")
+    sent = docs.select("doc_id", "text").mapInArrow(encode, f"deal bigint, {both}").repartition("deal")
     kind = F.when(F.col("payload").isNull(), "recipe").otherwise("chunk").alias("kind")
     sent.mapInArrow(unique, both).select("*", kind).write.option("compression", "zstd").partitionBy("kind").mode("overwrite").parquet(loose)
     # Recipes alone are put in order: some bytes for each chunk.
     recipes = spark.read.schema(f"{both}, kind string").parquet(loose).where("kind = 'recipe'").select("doc_id", F.col("n").alias("n_tokens"), "addresses", F.col("address").alias("root"))
     ordered = recipes.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "root")
     ordered.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row_id"), "*").write.mode("overwrite").parquet(f"{folder}/recipes")
-    in_order = F.transform(F.array_sort(F.collect_list(F.struct("row_id", "root"))), lambda x: F.hex(x["root"]))
-    manifest = (
-        spark.read.parquet(f"{folder}/recipes")
-        .groupBy("part")
-        .agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sha2(F.array_join(in_order, ""), 256).alias("root"))
+    # The tree of a part, level by level: a node stands over FAN nodes, so no row gathers more.
+    level = spark.read.parquet(f"{folder}/recipes").select(
+        "part", F.col("row_id").bitwiseAND((1 << 33) - 1).alias("at"), F.lit(1).cast("long").alias("n_docs"), "n_tokens", F.lower(F.hex("root")).alias("root")
     )
-    manifest.write.mode("overwrite").parquet(f"{folder}/manifest")
+    for _ in range(LEVELS):
+        below = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "root"))), lambda x: x["root"]), "")
+        level = level.groupBy("part", F.floor(F.col("at") / FAN).alias("up")).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sha2(below, 256).alias("root"))
+        level = level.withColumnRenamed("up", "at")
+    level.write.mode("overwrite").parquet(f"{folder}/manifest")
 
 
 def stored_chunks(spark: SparkSession, folder: str) -> DataFrame:
@@ -183,8 +236,8 @@ def stored_chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def store_root(spark: SparkSession, folder: str) -> str:
-    """The root over all parts."""
-    rows = spark.read.parquet(f"{folder}/manifest").orderBy("part").select("root").collect()
+    """The root over all parts, of which there are as many as range partitions."""
+    rows = spark.read.parquet(f"{folder}/manifest").orderBy("part", "at").select("root").collect()
     return hashlib.sha256("".join(r.root for r in rows).encode()).hexdigest()
 
 
@@ -258,7 +311,7 @@ def read_digests(spark: SparkSession, folder: str, width: int) -> DataFrame:
     found = met.mapInArrow(join, f"part int, row_id bigint, doc_id {key_type}, n_tokens bigint, ids_crc32 bigint, verified boolean")
     # Ids before a part: the manifest has one row a part.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = spark.read.parquet(f"{folder}/manifest").select("part", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("_before"))
+    offsets = spark.read.parquet(f"{folder}/manifest").groupBy("part").agg(F.sum("n_tokens").alias("n_tokens")).select("part", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("_before"))
     within = Window.partitionBy("part").orderBy("row_id").rowsBetween(Window.unboundedPreceding, -1)
     return found.join(offsets, "part").select(
         "doc_id", (F.col("_before") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).alias("start"), "n_tokens", "ids_crc32", "verified"

@@ -12,14 +12,13 @@ PATH = P.path("byte_bpe_50k.json")
 
 def library():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda x: [*t.encode(x, add_special_tokens=False).ids, 0]
 
 
 def test_encoder_equals_the_library():
     plain, pick = library(), random.Random(1)
     alphabet = "aetin oshr'ds\n\t  .,-=_#1234é漢\xa0\x85\x1c\U0001f600TH"
-    texts = ["", " ", "<|endoftext|> x", "a\xa0 b", "x" * 500] + ["".join(pick.choice(alphabet) for _ in range(pick.randrange(1, 90))) for _ in range(800)]
+    texts = ["", " ", "<|endoftext|> x", "a  <|endoftext|>", "hello <|endoftext|> world", "a\xa0 b", "x" * 500] + ["".join(pick.choice(alphabet) for _ in range(pick.randrange(1, 90))) for _ in range(800)]
     got = LibraryEncoder(PATH).encode([None, *texts], 0)
     assert [x.tolist() for x in got] == [[0], *map(plain, texts)]
 
