@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns, and sliding-window Shannon entropy per character class with an allow-list.
 
 The entropy of a window is kept by incremental counts: moving the window by one character changes two counts, so a
-candidate of n characters costs n steps whatever the window. Rows never leave their partition; memory is one Arrow batch.
+candidate of n characters costs n steps whatever the window. No pattern of the allow-list backtracks by more than a constant
+times the length of a candidate. Rows never leave their partition; memory is one Arrow batch.
 
 Cases: a null or empty text has no spans; a null ``doc_id`` and repeated rows are kept, one output row per input row; other
 columns are ignored; an empty table gives an empty result; spans are in code points, end exclusive.
@@ -46,10 +47,10 @@ CLASSES = (
 ALLOWED = (
     re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"),  # UUID
     re.compile(r"[0-9_/=+-]+"),  # numbers and rules
-    re.compile(r"(?:[A-Za-z]+[-_/+=]*)+"),  # words, joined or not
+    re.compile(r"[A-Za-z][A-Za-z\-_/+=]*"),  # words, joined or not
     re.compile(r".*(?:EXAMPLE|example|placeholder|changeme|xxxxxx|XXXXXX).*"),
     re.compile(r".*(?:abcdefghij|ABCDEFGHIJ|0123456789|1234567890).*"),
-    re.compile(r"(.{1,8}?)\1+.{0,8}"),  # repetitions
+    re.compile(r"(.{1,8}?)\1+.{0,8}"),  # repetitions; at most eight units, each tried once along the value
 )
 
 
@@ -108,8 +109,15 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
 def scan(text: str | None) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]]]:
     """The base spans, and all spans; a span by entropy inside a base span adds nothing and is left out."""
     text = text or ""
-    base = base_spans(text)
-    more = [x for x in entropy_spans(text) if not any(b[0] <= x[0] and x[2] <= b[2] for b in base)]
+    base, more = base_spans(text), []
+    # Both lists go by start: a span is inside a base span if one that begins no later ends no earlier.
+    at, reach = 0, -1
+    for x in entropy_spans(text):
+        while at < len(base) and base[at][0] <= x[0]:
+            reach = max(reach, base[at][2])
+            at += 1
+        if x[2] > reach:
+            more.append(x)
     return base, sorted(base + more, key=lambda x: (x[0], ORDER[x[1]]))
 
 
