@@ -46,7 +46,9 @@ NOISE_WORDS = frozenset(
     "pagination pager skip copyright legal disclaimer".split()
 )
 MAIN = frozenset(("article", "main"))
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+P_SCOPE = MAIN | CELL | {"div", "section", "body", "li", "blockquote"}
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+PLAIN = re.compile(r"[^>\"']*")
 ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 
@@ -90,11 +92,49 @@ def _signature(tag: str, attributes: str) -> tuple[str, bool]:
     return " ".join(said), noise
 
 
+def _attributes_end(text: str, at: int, unclosed: set[str]) -> int:
+    """Where the attributes of a tag end. A quote counts behind an equals sign and where it is closed; unclosed: quotes that never are again."""
+    while (at := PLAIN.match(text, at).end()) < len(text) and (quote := text[at]) != ">":
+        if quote not in unclosed and text[max(0, at - 80) : at].rstrip().endswith("="):
+            end = text.find(quote, at + 1)
+            if end < 0:
+                unclosed.add(quote)
+            else:
+                at = end
+        at += 1
+    return at
+
+
+class _Open(list):
+    """The elements under way, and how many there are of each tag."""
+
+    def __init__(self, root: Node):
+        super().__init__([root])
+        self.count: dict[str, int] = {}
+
+    def add(self, node: Node) -> None:
+        self.append(node)
+        self.count[node.tag] = self.count.get(node.tag, 0) + 1
+
+    def close(self, kinds, scope=()) -> None:
+        """End the innermost element of these kinds and all inside it, unless one of the scope stands between."""
+        if not any(self.count.get(k) for k in kinds):
+            return
+        for depth in range(len(self) - 1, 0, -1):
+            if self[depth].tag in kinds:
+                for node in self[depth:]:
+                    self.count[node.tag] -= 1
+                del self[depth:]
+                return
+            if self[depth].tag in scope:
+                return
+
+
 def parse(text: str | None) -> Node:
-    """The page as a tree; parts of a node are strings and nodes in order."""
+    """The page as a tree; parts of a node are strings and nodes in order. One pass, whatever the nesting."""
     root = Node("", "", False, True, False)
-    stack, at, text = [root], 0, text or ""
-    n = len(text)
+    stack, at, text = _Open(root), 0, text or ""
+    n, unclosed = len(text), set()
     while at < n:
         m = TAG.search(text, at)
         if m is None:
@@ -106,17 +146,16 @@ def parse(text: str | None) -> Node:
         if m[2] is None:
             continue
         tag = m[2].lower()
+        attributes = text[at : (at := _attributes_end(text, at, unclosed))]
+        at += 1
         if m[1]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == tag:
-                    del stack[depth:]
-                    break
+            stack.close((tag,))
             continue
         if tag in BLOCK and tag != "br":
-            _close(stack, ("p",), MAIN | CELL | {"div", "section", "body", "li", "blockquote"})
+            stack.close(("p",), P_SCOPE)
         if tag in ENDS:
-            _close(stack, ENDS[tag], SCOPE[tag])
-        said, noise = _signature(tag, m[3])
+            stack.close(ENDS[tag], SCOPE[tag])
+        said, noise = _signature(tag, attributes)
         up = stack[-1]
         in_main = up.in_main or tag in MAIN
         if tag == "header" and not up.in_main:
@@ -126,28 +165,30 @@ def parse(text: str | None) -> Node:
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(text, at)
             at = end.end() if end else n
-        elif tag not in VOID and not m[3].rstrip().endswith("/"):
-            stack.append(node)
+        elif tag not in VOID and not attributes.rstrip().endswith("/"):
+            stack.add(node)
     return root
 
 
-def _close(stack: list[Node], kinds, scope) -> None:
-    for depth in range(len(stack) - 1, 0, -1):
-        if stack[depth].tag in kinds:
-            del stack[depth:]
-            return
-        if stack[depth].tag in scope:
-            return
-
-
-def _content(node: Node) -> str:
-    return "".join(x if isinstance(x, str) else f" {_content(x)} " for x in node.parts)
+def _contents(root: Node) -> dict[int, str]:
+    """A hash of what each node below the root holds, by its id(): from its texts and the hashes of its children, children first."""
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo += [x for x in node.parts if not isinstance(x, str)]
+    found: dict[int, str] = {}
+    for node in reversed(order):
+        said = [" ".join(x.split()) if isinstance(x, str) else found[id(x)] for x in node.parts]
+        said = [x for x in said if x]
+        found[id(node)] = hashlib.md5("\n".join(said).encode()).hexdigest()[:16] if said else ""
+    return found
 
 
 def elements(root: Node) -> list[tuple[str, str, str, int]]:
     """(key, presentation, content, children) of the elements that an entropy may judge; those of one key are put together."""
     found: dict[str, tuple[list[str], list[str]]] = {}
-    todo = [root]
+    todo, contents = [root], _contents(root)
     while todo:
         node = todo.pop()
         for x in reversed([x for x in node.parts if not isinstance(x, str)]):
@@ -161,7 +202,7 @@ def elements(root: Node) -> list[tuple[str, str, str, int]]:
                 style.append(x.tag)
         s, c = found.setdefault(node.key, ([], []))
         s.append(",".join(style))
-        c.append(" ".join(_content(node).split()))
+        c.append(contents[id(node)])
     short = lambda x: hashlib.md5("\n".join(x).encode()).hexdigest()[:16]
     return [(k, short(s), short(c), s[0].count(",") + 1) for k, (s, c) in found.items()]
 

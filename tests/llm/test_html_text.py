@@ -1,4 +1,4 @@
-from lodestone.llm.html_text import blocks, extract_text, parse
+from lodestone.llm.html_text import blocks, elements, extract_text, parse
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p><p>no";</script></head><body class="page header-x">
 <header><h2>Site</h2></header><nav><ul><li><a href="/a">Home</a></li></ul></nav><!-- <p>no</p> --><div class="ad">Buy</div>
@@ -35,3 +35,30 @@ def test_style_tree_cuts_what_never_changes(spark):
     assert by[101][0].text == by[102][0].text == "" and by[None][0].text == "lone"
     assert all(by[200 + i][0].text == "H\nSame" for i in range(20))
     assert extract_text(pages.limit(0)).count() == 0
+
+
+def test_hostile_markup_ends_soon():
+    import time
+
+    for text, said in (
+        ("<div>" * 20_000 + "deep", ["deep"]),
+        ("<div>" * 20_000 + "</b>" * 20_000 + "x", ["x"]),
+        ("<p><span>" * 20_000 + "y", ["y"]),
+        ("<a " * 350_000, []),
+        ('<a "' * 8_000 + "'", []),
+        ('<a b="' * 30_001, []),
+        ("&" * 500_000, ["&" * 500_000]),
+        ("<p title=\"a > b\">in</p><p title=it's>out", ["in", "out"]),
+    ):
+        began = time.perf_counter()
+        root = parse(text)
+        elements(root)
+        assert blocks(root) == said and time.perf_counter() - began < 5, text[:40]
+
+
+def test_contents_are_equal_where_texts_are():
+    content = lambda inner: next(c for _, _, c, _ in elements(parse(f"<body><div class=x>{inner}</div>")) if c)
+    inner = [f"<span>{w}  words</span> tail" for w in ("same", "other", "same", "third")]
+    found = [content(x) for x in inner]
+    assert [[a == b for b in found] for a in found] == [[a == b for b in inner] for a in inner]
+    assert content("<span>same words</span>\n  tail") == found[0]
