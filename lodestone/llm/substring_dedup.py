@@ -1,7 +1,7 @@
 """Exact substring deduplication by merged Burrows-Wheeler transforms.
 
-Every 50-byte window has an anchor: the 24-byte gram of it with the least hash. Equal windows have equal anchors at equal
-places, so they meet where anchors are dealt out by hash.
+Every 50-byte window has an anchor: the first 24-byte gram of it whose first eight bytes have the least hash. Equal windows
+have equal anchors at equal places, so they meet where anchors are dealt out by hash.
 
 1. Documents are dealt to batches by a hash of their id. Each batch sends its different anchors once; anchors of two or more
    documents come back marked.
@@ -13,8 +13,8 @@ places, so they meet where anchors are dealt out by hash.
    again. Back goes the smallest document of each window, as runs.
 3. A batch removes the bytes of windows that a smaller document holds.
 
-A passage in a third of all documents costs a shard one segment a batch. Documents travel three times, compressed; nothing
-is collected to the driver.
+A passage in a third of all documents costs a shard one segment a batch. Documents travel once, into a bucketed table that
+all passes read; nothing is collected to the driver.
 
 Cases: a null or empty text, and one of fewer than 50 bytes, loses nothing; equal ``doc_id``s never remove from each other; a
 null ``doc_id`` is larger than all others; other columns are ignored; an empty table gives an empty result; a very long text is
@@ -32,6 +32,7 @@ import zstandard as zs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.batches import dealt
 from lodestone.session import checkpoint_root
 
 LENGTH, GRAM = 50, 24
@@ -50,32 +51,33 @@ def _sliding(x: np.ndarray, width: int, f) -> np.ndarray:
     return f(out[: len(out) - (width - have)], out[width - have :]) if width > have else out
 
 
-def gram_hashes(data: bytes) -> np.ndarray:
-    b = np.frombuffer(data, np.uint8)
-    x = np.lib.stride_tricks.sliding_window_view(b, 8)
-    x = np.ascontiguousarray(x).view(np.uint64).reshape(-1)
-    n = len(b) - GRAM + 1
-    h = np.zeros(n, np.uint64)
-    for j in range(0, GRAM, 8):
-        h = (h ^ x[j : j + n]) * _M1
-        h ^= h >> np.uint64(32)
-    h *= _M2
-    return h ^ (h >> np.uint64(29))
+def _eights(data: bytes) -> np.ndarray:
+    """Eight bytes from every place as one number."""
+    return np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
 
 
 def anchored(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, windows, anchor) of each stretch of windows with one anchor."""
+    """(first window, windows, anchor) of each stretch of windows with one anchor.
+
+    The anchor of a window is the hash of a gram of it: of those that begin with the least hash of eight bytes, the first.
+    """
     if len(data) < LENGTH:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = gram_hashes(data)
+    x = _eights(data)
+    h = ((x[: len(data) - GRAM + 1] * _M1) >> np.uint64(32)).astype(np.uint32)
     least = _sliding(h, SPAN, np.minimum)
-    # Stretches of one value; a hash that comes twice in a stretch cuts it behind the first place.
+    # A stretch ends where the least hash changes, and behind the first place of one that comes again.
     n = len(least)
-    again = np.flatnonzero((least[1:] == least[:-1]) & (h[: n - 1] == least[:-1])) + 1
-    at = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
-    if len(again):
-        at = np.unique(np.r_[at, again])
-    return at, np.diff(np.r_[at, n]), least[at]
+    cut = np.ones(n, bool)
+    cut[1:] = (least[1:] != least[:-1]) | (h[: n - 1] == least[:-1])
+    at = np.flatnonzero(cut)
+    place = at + np.argmin(np.lib.stride_tricks.sliding_window_view(h, SPAN)[at], axis=1)
+    name = np.zeros(len(at), np.uint64)
+    for j in range(0, GRAM, 8):
+        name = (name ^ x[place + j]) * _M1
+        name ^= name >> np.uint64(32)
+    name *= _M2
+    return at, np.diff(np.append(at, n)), name ^ (name >> np.uint64(29))
 
 
 def build_bwt(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -202,38 +204,43 @@ def _evened(shards: list[list], most: int = 8) -> list[list]:
 
 
 class Batch:
-    """The windows of the documents of a batch by their anchors."""
+    """The documents of a batch in an order that follows from them alone, and their windows by anchors."""
+
+    def __init__(self, ids: list, texts: list):
+        data = [(x or "").encode() for x in texts]
+        names = [NO_ID if i is None else i for i in ids]
+        self.order = sorted(range(len(data)), key=lambda i: (names[i], data[i]))
+        self.ids = np.array([names[i] for i in self.order], np.int64)
+        self.data = [data[i] for i in self.order]
 
-    def __init__(self, ids: list, texts: list, shards: int):
-        self.ids = np.array([NO_ID if i is None else i for i in ids], np.int64)
-        self.data = [(x or "").encode() for x in texts]
+    def anchors(self, shards: int) -> None:
         parts = [anchored(d) for d in self.data]
         self.doc = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
         cat = lambda i, t: np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, t)
-        self.first, self.size, self.anchor = cat(0, np.int64), cat(1, np.int64), cat(2, np.uint64)
-        u, inverse = np.unique(self.anchor, return_inverse=True)
-        shard = (u % np.uint64(shards)).astype(np.int64)
-        order = np.argsort(shard, kind="stable")
-        place = np.empty(len(u), np.int64)
-        place[order] = np.arange(len(u))
-        self.names, self.shard, self.of = u[order], shard[order], place[inverse]
-        low, high = np.full(len(u), NO_ID), np.full(len(u), np.iinfo(np.int64).min)
-        own = self.ids[self.doc]
-        np.minimum.at(low, self.of, own)
-        np.maximum.at(high, self.of, own)
-        self.several = low < high
-        self.low = low
+        self.first, self.size, anchor = cat(0, np.int64), cat(1, np.int64), cat(2, np.uint64)
+        order = np.argsort(anchor, kind="stable")
+        sorted_ = anchor[order]
+        new = np.ones(len(order), bool)
+        new[1:] = sorted_[1:] != sorted_[:-1]
+        start = np.flatnonzero(new)
+        self.names = sorted_[start]
+        # Shards are ranges of names.
+        self.shard = (((self.names >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
+        self.of = np.empty(len(order), np.int64)
+        self.of[order] = np.cumsum(new) - 1
+        # Documents are in the order of their ids, so a name's first and last stretch tell whether several ids have it.
+        own = self.ids[self.doc[order]]
+        last = np.append(start[1:], len(order)) - 1
+        self.several = own[start] < own[last] if len(start) else np.zeros(0, bool)
 
     def segments(self, shared: np.ndarray) -> dict[int, dict[tuple[int, bytes], list[int]]]:
         """By shard: the different segments of shared anchors, with the stretches of windows that have them."""
         out: dict[int, dict[tuple[int, bytes], list[int]]] = {}
-        for i in np.flatnonzero(shared[self.of]).tolist():
-            s = int(self.first[i])
-            name = int(self.of[i])
-            data = self.data[self.doc[i]][s : s + int(self.size[i]) + LENGTH - 1]
+        at = np.flatnonzero(shared[self.of])
+        for i, s, k, name, d in zip(at.tolist(), self.first[at].tolist(), self.size[at].tolist(), self.of[at].tolist(), self.doc[at].tolist(), strict=True):
+            data = self.data[d][s : s + k + LENGTH - 1]
             out.setdefault(int(self.shard[name]), {}).setdefault((name, data), []).append(i)
-        # Rows come to a batch in any order; the segments go out and come back in theirs.
-        return {k: dict(sorted(v.items())) for k, v in out.items()}
+        return out
 
 
 def _cut(values: np.ndarray, shards: int):
@@ -241,6 +248,26 @@ def _cut(values: np.ndarray, shards: int):
     return [(k, slice(ends[k], ends[k + 1])) for k in range(shards) if ends[k + 1] > ends[k]]
 
 
+def _packed(*arrays: np.ndarray) -> bytes:
+    """Arrays as bytes, with their types and lengths."""
+    head = ",".join(f"{a.dtype.str}{len(a)}" for a in arrays).encode()
+    return zs.ZstdCompressor(level=1).compress(len(head).to_bytes(4, "little") + head + b"".join(a.tobytes() for a in arrays))
+
+
+def _unpacked(payload: bytes) -> list[np.ndarray]:
+    data = zs.ZstdDecompressor().decompress(payload)
+    at, out = 4 + int.from_bytes(data[:4], "little"), []
+    for x in data[4:at].decode().split(","):
+        kind, n = np.dtype(x[:3]), int(x[3:])
+        out.append(np.frombuffer(data, kind, n, at))
+        at += n * kind.itemsize
+    return out
+
+
+#: Kinds of messages: anchors and their marks; segments and their holders; where the segments of a batch stand in it.
+ANCHORS, SEGMENTS, PLACES = 0, 1, 2
+
+
 def dedup_substrings(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     import pyarrow as pa
@@ -248,126 +275,114 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     folder = f"{checkpoint_root(spark)}/substring_dedup_{uuid.uuid4().hex}"
     key = docs.schema["doc_id"].dataType.simpleString()
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = n_batches = int(max(spark.sparkContext.defaultParallelism, 1 + size // BATCH_BYTES))
-    dealt = docs.select("doc_id", "text", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(n_batches)), F.lit(0)).cast("int").alias("batch"))
-    sent = "batch int, shard int, payload binary"
-    batch_of = lambda t: Batch(t.column("doc_id").to_pylist(), t.column("text").to_pylist(), shards)
+    table, shards = dealt(docs, folder, BATCH_BYTES)
+    message = "kind int, batch int, shard int, payload binary"
+    names = [x.split()[0] for x in message.split(", ")]
+    types = [pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+
+    def batch_of(rows: pa.Table) -> Batch:
+        return Batch(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist())
 
-    def rows_out(name: int, rows: list[tuple[int, bytes]]) -> pa.Table:
-        return pa.table({"batch": pa.array([name] * len(rows), pa.int32()), "shard": pa.array([k for k, _ in rows], pa.int32()), "payload": pa.array([p for _, p in rows], pa.binary())})
+    def messages(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
+        return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
     def by_shard(batches):
         found: dict[int, list[tuple[int, bytes]]] = {}
         for batch in batches:
-            for name, k, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for _, name, k, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 found.setdefault(k, []).append((name, payload))
         return found
 
-    def answers(k: int, rows: list[tuple[int, bytes]]):
+    def answers(rows: list[tuple[int, int, int, bytes]]):
         for i in range(0, len(rows), 8):
-            part = rows[i : i + 8]
-            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in part], pa.int32()), pa.array([k] * len(part), pa.int32()), pa.array([p for _, p in part], pa.binary())], names=["batch", "shard", "payload"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows[i : i + 8]], t) for j, t in enumerate(types)], names=names)
 
-    def ask_anchors(table: pa.Table) -> pa.Table:
-        b = batch_of(table)
+    def ask_anchors(rows: pa.Table) -> pa.Table:
+        b, name = batch_of(rows), rows.column("batch")[0].as_py()
+        b.anchors(shards)
         # 32 bits of the anchor beside its shard: a clash only marks an anchor that need not be marked.
-        rows = [(k, np.array([s.stop - s.start], np.int64).tobytes() + (b.names[s] >> np.uint64(32)).astype(np.uint32).tobytes() + np.packbits(b.several[s]).tobytes()) for k, s in _cut(b.shard, shards)]
-        return rows_out(table.column("batch")[0].as_py(), rows)
+        short = (b.names * np.uint64(shards) >> np.uint64(32)).astype(np.uint32) if shards < 1 << 32 else b.names
+        return messages([(ANCHORS, name, k, _packed(short[s], np.packbits(b.several[s]))) for k, s in _cut(b.shard, shards)])
 
     def mark(batches):
         for k, rows in by_shard(batches).items():
-            names, several = [], []
-            for _, p in rows:
-                n = int(np.frombuffer(p, np.int64, 1)[0])
-                names.append(np.frombuffer(p, np.uint32, n, 8))
-                several.append(np.unpackbits(np.frombuffer(p, np.uint8, -1, 8 + 4 * n))[:n])
-            u, at = np.unique(np.concatenate(names), return_inverse=True)
-            score = np.bincount(at, weights=np.concatenate(several)) + np.bincount(at)
-            good = (score > 1)[at]
-            ends = np.cumsum([len(x) for x in names])[:-1]
-            yield from answers(k, [(name, np.array([len(g)], np.int64).tobytes() + np.packbits(g).tobytes()) for (name, _), g in zip(rows, np.split(good, ends), strict=True)])
-
-    def marked(b: Batch, right: pa.Table) -> np.ndarray:
-        by = {k: p for k, p in zip(right.column("shard").to_pylist(), right.column("payload").to_pylist(), strict=True) if p[:1] != b"S"}
-        out = [np.unpackbits(np.frombuffer(by[k], np.uint8, -1, 8))[: int(np.frombuffer(by[k], np.int64, 1)[0])] for k in sorted(by)]
-        return np.concatenate(out).astype(bool) if out else np.zeros(0, bool)
+            asked = [_unpacked(p) for _, p in rows]
+            several = np.concatenate([np.unpackbits(bits)[: len(x)] for x, bits in asked])
+            u, at = np.unique(np.concatenate([x for x, _ in asked]), return_inverse=True)
+            score = np.bincount(at, weights=several) + np.bincount(at)
+            good = np.split((score > 1)[at], np.cumsum([len(x) for x, _ in asked])[:-1])
+            yield from answers([(ANCHORS, name, k, _packed(np.array([len(g)], np.int64), np.packbits(g))) for (name, _), g in zip(rows, good, strict=True)])
+
+    def of_kind(rows: pa.Table, kind: int) -> dict[int, list[np.ndarray]]:
+        """The messages of a kind by shard."""
+        return {k: _unpacked(p) for x, k, p in zip(rows.column("kind").to_pylist(), rows.column("shard").to_pylist(), rows.column("payload").to_pylist(), strict=True) if x == kind}
 
     def ask_segments(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
+        name = (left if left.num_rows else right).column("batch")[0].as_py()
         if left.num_rows:
             b = batch_of(left)
-            shrink = zs.ZstdCompressor(level=1)
-            for k, found in b.segments(marked(b, right)).items():
-                keys = list(found)
-                head = np.array([len(keys)], np.int64).tobytes()
-                names = np.array([int(b.names[name]) for name, _ in keys], np.uint64).tobytes()
-                low = np.array([min(int(b.ids[b.doc[i]]) for i in found[x]) for x in keys], np.int64).tobytes()
-                length = np.array([len(d) for _, d in keys], np.uint32).tobytes()
-                rows.append((k, shrink.compress(head + names + low + length + b"".join(d for _, d in keys))))
-        name = (left if left.num_rows else right).column("batch")[0].as_py()
-        return rows_out(name, rows)
+            b.anchors(shards)
+            bits = of_kind(right, ANCHORS)
+            marked = np.concatenate([np.unpackbits(bits[k][1])[: int(bits[k][0][0])] for k in sorted(bits)]).astype(bool) if bits else np.zeros(0, bool)
+            for k, found in b.segments(marked).items():
+                keys, stretches = list(found), list(found.values())
+                length = np.array([len(d) for _, d in keys], np.uint32)
+                low = b.ids[[b.doc[x[0]] for x in stretches]]  # stretches are in the order of ids
+                rows.append((SEGMENTS, name, k, _packed(b.names[[n for n, _ in keys]], low, length, np.frombuffer(b"".join(d for _, d in keys), np.uint8))))
+                every = np.array([i for x in stretches for i in x], np.int64)
+                rows.append((PLACES, name, k, _packed(b.doc[every].astype(np.uint32), b.first[every].astype(np.uint32), np.repeat(np.arange(len(keys), dtype=np.uint32), [len(x) for x in stretches]))))
+        return messages(rows)
 
     def hold(batches):
         for k, rows in by_shard(batches).items():
             senders = []
             for _, p in rows:
-                p = zs.ZstdDecompressor().decompress(p)
-                n = int(np.frombuffer(p, np.int64, 1)[0])
-                names, low = np.frombuffer(p, np.uint64, n, 8).tolist(), np.frombuffer(p, np.int64, n, 8 + 8 * n).tolist()
-                length = np.frombuffer(p, np.uint32, n, 8 + 16 * n)
-                ends = (8 + 20 * n + np.cumsum(length, dtype=np.int64)).tolist()
-                senders.append([(a, p[e - s : e], d) for a, d, e, s in zip(names, low, ends, length.tolist(), strict=True)])
+                anchor, low, length, data = _unpacked(p)
+                data, ends = data.tobytes(), np.cumsum(length, dtype=np.int64).tolist()
+                senders.append([(a, data[e - s : e], d) for a, d, e, s in zip(anchor.tolist(), low.tolist(), ends, length.tolist(), strict=True)])
             out = []
             for (name, _), runs in zip(rows, smallest_holders(senders), strict=True):
-                count = np.array([len(r) for r in runs], np.uint8).tobytes()
-                span = np.array([x for r in runs for x, _ in r], np.uint8).tobytes()
-                docs_ = np.array([x for r in runs for _, x in r], np.int64).tobytes()
-                out.append((name, b"S" + zs.ZstdCompressor(level=1).compress(np.array([len(runs), len(span)], np.int64).tobytes() + docs_ + count + span)))
-            yield from answers(k, out)
+                count = np.array([len(r) for r in runs], np.uint32)
+                out.append((SEGMENTS, name, k, _packed(count, np.array([x for r in runs for x, _ in r], np.uint32), np.array([x for r in runs for _, x in r], np.int64))))
+            yield from answers(out)
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
         b = batch_of(left)
-        of_shard = {k: p for k, p in zip(right.column("shard").to_pylist(), right.column("payload").to_pylist(), strict=True) if p[:1] == b"S"}
-        cover = [np.zeros(len(d) + 1, np.int32) for d in b.data]
-        for k, found in b.segments(marked(b, right)).items():
-            p = zs.ZstdDecompressor().decompress(of_shard[k][1:])
-            n, m = (int(x) for x in np.frombuffer(p, np.int64, 2))
-            held = np.frombuffer(p, np.int64, m, 16).tolist()
-            count = np.frombuffer(p, np.uint8, n, 16 + 8 * m).tolist()
-            span = np.frombuffer(p, np.uint8, m, 16 + 8 * m + n).tolist()
-            at = 0
-            for c, stretches in zip(count, found.values(), strict=True):
-                for i in stretches:
-                    d, s = int(b.doc[i]), int(b.first[i])
-                    own, c_d = int(b.ids[d]), cover[d]
-                    for j in range(at, at + c):
-                        if held[j] < own:
-                            c_d[s] += 1
-                            c_d[s + span[j] + LENGTH - 1] -= 1
-                        s += span[j]
-                at += c
+        size = np.array([len(d) + 1 for d in b.data], np.int64)
+        base = np.cumsum(size) - size
+        cover = np.zeros(int(size.sum()), np.int32)
+        places, holders = of_kind(right, PLACES), of_kind(right, SEGMENTS)
+        for k, found in places.items():
+            doc, first, which = (x.astype(np.int64) for x in found)
+            count, span, held = (x.astype(np.int64) for x in holders[k])
+            end = np.cumsum(count)
+            # Every place with every run of its segment.
+            n = count[which]
+            place = np.repeat(np.arange(len(which)), n)
+            head = (end - count)[which][place]
+            run = np.arange(len(place)) - np.repeat(np.cumsum(n) - n, n) + head
+            before = np.cumsum(span) - span
+            gone = held[run] < b.ids[doc[place]]
+            start = (base[doc] + first)[place[gone]] + before[run[gone]] - before[head[gone]]
+            np.add.at(cover, start, 1)
+            np.add.at(cover, start + span[run[gone]] + LENGTH - 1, -1)
+        cover = np.cumsum(cover) > 0
         n_bytes, removed, spans, kept = [], [], [], []
-        for d, c in zip(b.data, cover, strict=True):
-            gone = np.cumsum(c[:-1]) > 0
+        for d, at in zip(b.data, base.tolist(), strict=True):
+            gone = cover[at : at + len(d)]
             n_bytes.append(len(d))
             removed.append(int(gone.sum()))
-            spans.append(int((gone & ~np.r_[False, gone[:-1]]).sum()) if len(gone) else 0)
+            spans.append(int((gone & ~np.r_[False, gone[:-1]]).sum()) if removed[-1] else 0)
             kept.append(hashlib.sha256(np.frombuffer(d, np.uint8)[~gone].tobytes() if removed[-1] else d).hexdigest())
-        return pa.table({"doc_id": left.column("doc_id"), "n_bytes": pa.array(n_bytes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(kept, pa.string())})
-
-    def free():
-        import gc
-
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-
-    dealt.groupBy("batch").applyInArrow(ask_anchors, sent).repartition(shards, "shard").mapInArrow(mark, sent).write.parquet(f"{folder}/marks")
-    free()
-    marks = spark.read.parquet(f"{folder}/marks")
-    asked = dealt.groupBy("batch").cogroup(marks.groupBy("batch")).applyInArrow(ask_segments, sent)
-    asked.repartition(shards, "shard").mapInArrow(hold, sent).write.parquet(f"{folder}/holders")
-    free()
-    both = marks.unionByName(spark.read.parquet(f"{folder}/holders"))
+        ids = left.column("doc_id").take(pa.array(b.order, pa.int64()))
+        return pa.table({"doc_id": ids, "n_bytes": pa.array(n_bytes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(kept, pa.string())})
+
+    table.groupBy("batch").applyInArrow(ask_anchors, message).repartition(shards, "shard").mapInArrow(mark, message).write.parquet(f"{folder}/marks")
+    marks = spark.read.schema(message).parquet(f"{folder}/marks")
+    table.groupBy("batch").cogroup(marks.groupBy("batch")).applyInArrow(ask_segments, message).write.partitionBy("kind").parquet(f"{folder}/segments")
+    asked = spark.read.schema(message).parquet(f"{folder}/segments").select(*names)
+    asked.where(F.col("kind") == SEGMENTS).repartition(shards, "shard").mapInArrow(hold, message).write.parquet(f"{folder}/holders")
+    both = asked.where(F.col("kind") == PLACES).unionByName(spark.read.schema(message).parquet(f"{folder}/holders"))
     schema = f"doc_id {key}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
-    return dealt.groupBy("batch").cogroup(both.groupBy("batch")).applyInArrow(remove, schema)
+    return table.groupBy("batch").cogroup(both.groupBy("batch")).applyInArrow(remove, schema)
