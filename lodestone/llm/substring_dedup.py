@@ -28,16 +28,20 @@ import uuid
 from itertools import groupby
 
 import numpy as np
+import pandas as pd
 import zstandard as zs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.batches import dealt
+from lodestone.llm.flat import hashes
 from lodestone.session import checkpoint_root
 
 LENGTH, GRAM = 50, 24
 SPAN = LENGTH - GRAM + 1
 BATCH_BYTES = 12 << 20
+#: Bytes of segments whose transforms are merged together, so that they stay in a processor's cache.
+MERGE_BYTES = 192 << 10
 NO_ID = np.iinfo(np.int64).max
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -86,21 +90,30 @@ def build_bwt(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     UTF-8 has no byte over 0xF4, so characters fit in a byte.
     """
     m = len(segments)
-    length = np.array([len(s) for s in segments])
-    wide = int(length.max()) + 1
-    flat = np.frombuffer(b"".join(segments), np.uint8)
-    seg = np.repeat(np.arange(m), length)
-    off = np.arange(len(flat)) - np.repeat(np.cumsum(length) - length, length)
-    codes = np.zeros((m, wide + 16), np.uint8)
-    codes[seg, off] = flat + np.uint8(1)
-    # Eight characters from every place as one number.
-    eight = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(codes, 8, axis=1)).view(">u8")[..., 0].astype(np.uint64)
-    last = eight.shape[1] - 1
-    every_seg, every_off = np.r_[np.arange(m), seg], np.r_[length, off]
-    keys = [eight[every_seg, np.minimum(every_off + j, last)] for j in range(0, wide, 8)]
-    order = np.lexsort((every_seg, *keys[::-1]))
-    s, o = every_seg[order], every_off[order]
-    return np.where(o > 0, codes[s, np.maximum(o - 1, 0)], 0).astype(np.uint8), s, o
+    length = np.array([len(s) for s in segments], np.int64)
+    # One slot for each suffix, the empty one of each segment included.
+    stop = np.cumsum(length + 1) - 1
+    seg = np.repeat(np.arange(m), length + 1)
+    off = np.arange(len(seg)) - (stop - length)[seg]
+    codes = np.zeros(len(seg) + 8, np.uint8)
+    codes[np.flatnonzero(off < length[seg])] = np.frombuffer(b"".join(segments), np.uint8) + np.uint8(1)
+    # Ranks by eight characters, then by twice as many, until a whole segment is compared; behind an end come no characters.
+    room = stop[seg] - np.arange(len(seg))
+    key = np.ndarray((len(seg),), ">u8", codes, strides=(1,)).astype(np.uint64)
+    key &= ~((np.uint64(1) << (np.uint64(8) * np.maximum(8 - room, 0).astype(np.uint64))) - np.uint64(1)) * (room > 0)
+    width, end = 8, stop[seg]
+    while True:
+        order = np.argsort(key, kind="stable")
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = key[order[1:]] != key[order[:-1]]
+        if width > length.max() or fresh.all():
+            break
+        rank = np.empty(len(order), np.uint64)
+        rank[order] = np.cumsum(fresh, dtype=np.uint64)
+        key = (rank << np.uint64(32)) | rank[np.minimum(np.arange(len(order)) + width, end)]
+        width *= 2
+    s, o = seg[order], off[order]
+    return np.where(o > 0, codes[np.maximum(order - 1, 0)], 0).astype(np.uint8), s, o
 
 
 def merge_bwts(shards: list[np.ndarray], ends: list[int], depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,15 +122,16 @@ def merge_bwts(shards: list[np.ndarray], ends: list[int], depth: int) -> tuple[n
     ends: how many strings each shard has; their end marks are first in its order and stay in the order of the shards.
     """
     small = np.uint8 if len(shards) < 256 else np.int64
+    names = np.arange(len(shards), dtype=small)
     z = np.repeat(np.arange(len(shards)), [len(x) for x in shards]).astype(small)
     top = np.repeat(np.arange(len(shards)), ends).astype(small)
-    every = np.concatenate(shards)
     block = np.zeros(len(z), np.int32 if len(z) < 1 << 31 else np.int64)
     heads = np.arange(len(top), dtype=block.dtype)
     chars = np.empty(len(z), np.uint8)
     for _ in range(depth):
         # The characters of a shard stand at its places in the interleave, in their order.
-        chars[np.argsort(z, kind="stable")] = every
+        for k, own in zip(names, shards, strict=True):
+            chars[z == k] = own
         order = np.argsort(chars, kind="stable")[len(top) :]
         c, b = chars[order], block[order]
         # Each end mark is a block of its own: strings of different texts never go on into each other.
@@ -171,31 +185,42 @@ def smallest_holders(senders: list[list[tuple[int, bytes, int]]]) -> list[list[l
     several: dict[int, int] = {}
     for anchor, _ in least:
         several[anchor] = several.get(anchor, 0) + 1
-    # Only anchors with different segments go through the transforms; a shard is what its first sender brought.
-    shards: list[list[tuple[int, bytes]]] = [[] for _ in senders]
-    for key, k in owner.items():
-        if several[key[0]] > 1:
-            shards[k].append(key)
-    shards = _evened([s for s in shards if s])
+    # Only anchors with different segments go through the transforms, a bounded number of bytes of whole anchors at a time;
+    # a shard is what its first sender brought.
+    keys = sorted(key for key in owner if several[key[0]] > 1)
     spread: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
-    if any(shards):
-        keys = [key for s in shards for key in s]
-        low = np.array([least[key] for key in keys], np.int64)
-        n = np.array([len(d) - LENGTH + 1 for _, d in keys], np.int64)
-        base = np.cumsum(n) - n
-        held = np.repeat(low, n)
-        first = np.cumsum([0, *(len(s) for s in shards)])[:-1]
-        block, shard, seg, off = merged_rows([[data for _, data in s] for s in shards], LENGTH)
-        of = first[shard] + seg
-        start = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-        smallest = np.minimum.reduceat(low[of], start)
-        held[base[of] + off] = np.repeat(smallest, np.diff(np.r_[start, len(block)]))
-        values = held.tolist()
-        spread = {key: _runs(values[b : b + k]) for key, b, k in zip(keys, base.tolist(), n.tolist(), strict=True)}
+    at = 0
+    while at < len(keys):
+        stop, size = at, 0
+        while stop < len(keys) and (size < MERGE_BYTES or keys[stop][0] == keys[stop - 1][0]):
+            size += len(keys[stop][1])
+            stop += 1
+        shards: list[list[tuple[int, bytes]]] = [[] for _ in senders]
+        for key in keys[at:stop]:
+            shards[owner[key]].append(key)
+        spread.update(_merged_holders(_evened([s for s in shards if s]), least))
+        at = stop
     return [[spread.get((a, d)) or [(len(d) - LENGTH + 1, least[a, d])] for a, d, _ in rows] for rows in senders]
 
 
-def _evened(shards: list[list], most: int = 8) -> list[list]:
+def _merged_holders(shards: list[list[tuple[int, bytes]]], least: dict[tuple[int, bytes], int]) -> dict[tuple[int, bytes], list[tuple[int, int]]]:
+    """The runs of each segment: its windows that stand in others too have the smallest id of all."""
+    keys = [key for s in shards for key in s]
+    low = np.array([least[key] for key in keys], np.int64)
+    n = np.array([len(d) - LENGTH + 1 for _, d in keys], np.int64)
+    base = np.cumsum(n) - n
+    held = np.repeat(low, n)
+    first = np.cumsum([0, *(len(s) for s in shards)])[:-1]
+    block, shard, seg, off = merged_rows([[data for _, data in s] for s in shards], LENGTH)
+    of = first[shard] + seg
+    start = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+    smallest = np.minimum.reduceat(low[of], start)
+    held[base[of] + off] = np.repeat(smallest, np.diff(np.r_[start, len(block)]))
+    values = held.tolist()
+    return {key: _runs(values[b : b + k]) for key, b, k in zip(keys, base.tolist(), n.tolist(), strict=True)}
+
+
+def _evened(shards: list[list], most: int = 3) -> list[list]:
     """Small shards put together, so that a merge has few of them."""
     out: list[list] = [[] for _ in range(min(most, len(shards)))]
     for s in sorted(shards, key=len, reverse=True):
@@ -233,14 +258,24 @@ class Batch:
         last = np.append(start[1:], len(order)) - 1
         self.several = own[start] < own[last] if len(start) else np.zeros(0, bool)
 
-    def segments(self, shared: np.ndarray) -> dict[int, dict[tuple[int, bytes], list[int]]]:
-        """By shard: the different segments of shared anchors, with the stretches of windows that have them."""
-        out: dict[int, dict[tuple[int, bytes], list[int]]] = {}
+    def segments(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(stretch, segment of each, first stretch of each segment) of shared anchors: different segments in the order of their names."""
         at = np.flatnonzero(shared[self.of])
-        for i, s, k, name, d in zip(at.tolist(), self.first[at].tolist(), self.size[at].tolist(), self.of[at].tolist(), self.doc[at].tolist(), strict=True):
-            data = self.data[d][s : s + k + LENGTH - 1]
-            out.setdefault(int(self.shard[name]), {}).setdefault((name, data), []).append(i)
-        return out
+        at = at[np.argsort(self.of[at], kind="stable")]
+        begin = np.cumsum([0, *map(len, self.data)])[:-1]
+        whole = np.frombuffer(b"".join(self.data), np.uint8)
+        # A segment is told by its name and by hashes of its bytes before and behind the middle.
+        start, size = begin[self.doc[at]] + self.first[at], self.size[at] + LENGTH - 1
+        half = size // 2
+        one, two = hashes(whole, start, half), hashes(whole, start + half, size - half)
+        which = pd.factorize(one * _M1 ^ two ^ (self.of[at].astype(np.uint64) * _M2))[0]
+        first = np.empty(int(which.max(initial=-1)) + 1, np.int64)
+        first[which[::-1]] = at[::-1]
+        return at, which, first
+
+    def bytes_of(self, stretch: int) -> bytes:
+        s = int(self.first[stretch])
+        return self.data[self.doc[stretch]][s : s + int(self.size[stretch]) + LENGTH - 1]
 
 
 def _cut(values: np.ndarray, shards: int):
@@ -325,13 +360,16 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
             b.anchors(shards)
             bits = of_kind(right, ANCHORS)
             marked = np.concatenate([np.unpackbits(bits[k][1])[: int(bits[k][0][0])] for k in sorted(bits)]).astype(bool) if bits else np.zeros(0, bool)
-            for k, found in b.segments(marked).items():
-                keys, stretches = list(found), list(found.values())
-                length = np.array([len(d) for _, d in keys], np.uint32)
-                low = b.ids[[b.doc[x[0]] for x in stretches]]  # stretches are in the order of ids
-                rows.append((SEGMENTS, name, k, _packed(b.names[[n for n, _ in keys]], low, length, np.frombuffer(b"".join(d for _, d in keys), np.uint8))))
-                every = np.array([i for x in stretches for i in x], np.int64)
-                rows.append((PLACES, name, k, _packed(b.doc[every].astype(np.uint32), b.first[every].astype(np.uint32), np.repeat(np.arange(len(keys), dtype=np.uint32), [len(x) for x in stretches]))))
+            at, which, first = b.segments(marked)
+            # Segments are numbered by name, so those of a shard are neighbours.
+            name_of = b.of[first]
+            for k, s in _cut(b.shard[name_of], shards):
+                own = first[s]
+                data = [b.bytes_of(i) for i in own.tolist()]
+                low = b.ids[b.doc[own]]  # stretches are in the order of ids
+                rows.append((SEGMENTS, name, k, _packed(b.names[name_of[s]], low, np.array(list(map(len, data)), np.uint32), np.frombuffer(b"".join(data), np.uint8))))
+                here = (which >= s.start) & (which < s.stop)
+                rows.append((PLACES, name, k, _packed(b.doc[at[here]].astype(np.uint32), b.first[at[here]].astype(np.uint32), (which[here] - s.start).astype(np.uint32))))
         return messages(rows)
 
     def hold(batches):
