@@ -24,13 +24,15 @@ never the smallest unless it is alone; other columns are ignored; an empty table
 from __future__ import annotations
 
 import uuid
+from itertools import count
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from lodestone.llm import flat
 from lodestone.session import checkpoint_root
 
 WORDS = 5
@@ -46,34 +48,44 @@ BUCKET_BYTES = 12 << 20
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-class _Words(dict):
-    """64-bit hashes of words, with a bound on how many are kept."""
+def shingle_sets(column) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each row of an Arrow column."""
+    words, ends = flat.words(column)
+    n = len(words) - WORDS + 1
+    h = np.full(max(n, 0), WORDS, np.uint64)
+    for j in range(WORDS):
+        h = _mixed(h, words[j : j + len(h)])
+    out = []
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        if b - a >= WORDS:
+            out.append(_distinct(h[a : b - WORDS + 1]))
+        else:
+            one = np.full(min(1, b - a), b - a, np.uint64)
+            for w in words[a:b]:
+                one = _mixed(one, w)
+            out.append(one)
+    return out
+
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+def _mixed(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    h = (h ^ w) * _M1
+    h ^= h >> np.uint64(29)
+    h *= _M2
+    return h ^ (h >> np.uint64(32))
 
 
-_words = _Words()
+def _distinct(h: np.ndarray) -> np.ndarray:
+    h = np.sort(h)
+    keep = np.empty(len(h), bool)
+    keep[0] = True
+    np.not_equal(h[1:], h[:-1], out=keep[1:])
+    return h[keep]
 
 
 def shingles(text: str | None) -> np.ndarray:
-    """The sorted distinct shingle hashes of a text."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    w = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    k = min(WORDS, len(w))
-    n = len(w) - k + 1
-    h = np.full(n, k, np.uint64)
-    for j in range(k):
-        h = (h ^ w[j : j + n]) * _M1
-        h ^= h >> np.uint64(29)
-        h *= _M2
-        h ^= h >> np.uint64(32)
-    return np.unique(h)
+    import pyarrow as pa
+
+    return shingle_sets(pa.array([text], pa.large_string()))[0]
 
 
 def signature(hashes: np.ndarray) -> int:
@@ -86,14 +98,6 @@ def links(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * common >= 75 * (len(a) + len(b) - common)
 
 
-def _free(spark: SparkSession) -> None:
-    """Let the driver's JVM drop the shuffle files of tables that have been written."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _described(docs: DataFrame) -> DataFrame:
     """(doc_id, n, node, frequent): frequent shingles of a batch stand in its first row."""
     import pyarrow as pa
@@ -103,13 +107,13 @@ def _described(docs: DataFrame) -> DataFrame:
     def look(batches):
         for batch in batches:
             n, node, every, seen = [], [], [], set()
-            for x in batch.column(1).to_pylist():
-                s = shingles(x)
-                n.append(len(s))
-                node.append(signature(s))
-                if node[-1] not in seen:
-                    seen.add(node[-1])
-                    every.append(s)
+            for part in flat.slices(batch, 1):
+                for s in shingle_sets(part.column(1)):
+                    n.append(len(s))
+                    node.append(signature(s))
+                    if node[-1] not in seen:
+                        seen.add(node[-1])
+                        every.append(s)
             values, counts = np.unique(np.concatenate(every), return_counts=True) if every else (np.zeros(0, np.uint64), np.zeros(0))
             often = values[counts >= max(least, share * len(every))].view(np.int64)
             often = [often, *[None] * (len(n) - 1)] if n else []
@@ -137,10 +141,15 @@ def _shared(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
         table = np.array(nodes, np.int64)
         h, at = np.concatenate(hs), np.concatenate(ats)
         b = (h % np.uint64(buckets)).astype(np.int64)
-        # A bucket tells h from others of the bucket by 32 more bits; a rare clash only adds a pair to verify.
+        # A shingle is known by its bucket and 32 more bits. Clashes between documents only add pairs to verify; shingles
+        # of one document that clash are one, and counted as one, so its prefix gets no shorter.
         short = (h >> np.uint64(31)).astype(np.uint32)
-        order = np.lexsort((short, b))
+        order = np.argsort((b.astype(np.uint64) << np.uint64(32)) | short, kind="stable")
         short, at, b = short[order], at[order], b[order]
+        again = np.zeros(len(b), bool)
+        again[1:] = (b[1:] == b[:-1]) & (short[1:] == short[:-1]) & (at[1:] == at[:-1])
+        np.subtract.at(table[:, 2], at[again], 1)
+        short, at, b = short[~again], at[~again], b[~again]
         ends = np.searchsorted(b, np.arange(buckets + 1))
         out = [(k, pack(0, short[ends[k] : ends[k + 1]], at[ends[k] : ends[k + 1]], table)) for k in range(buckets) if ends[k + 1] > ends[k]]
         if often:
@@ -151,34 +160,33 @@ def _shared(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
     def send(batches):
         seen: set[int] = set()
         nodes, hs, ats, often, often_at, total = [], [], [], [], [], 0
-        for batch in batches:
-            for x in batch.column(0):
-                s = shingles(x.as_py())
-                if not len(s):
-                    continue
-                name = signature(s)
-                if name in seen:
-                    continue
-                if len(seen) > 1_000_000:
-                    seen.clear()
-                seen.add(name)
-                rare = s
-                if len(known):
-                    is_often = known[np.minimum(np.searchsorted(known, s), len(known) - 1)] == s
-                    if is_often.any():
-                        rare = s[~is_often]
-                        reach = len(s) + (-3 * len(s) // 4) + 1 - len(rare)
-                        if reach > 0:
-                            top = s[is_often][:reach]
-                            often.append(top)
-                            often_at.append(np.full(len(top), len(nodes)))
-                hs.append(rare)
-                ats.append(np.full(len(rare), len(nodes), np.int64))
-                nodes.append((name, len(s), len(rare)))
-                total += len(s)
-                if total > 1_500_000:
-                    yield from packed(nodes, hs, ats, often, often_at)
-                    nodes, hs, ats, often, often_at, total = [], [], [], [], [], 0
+        for s in (s for batch in batches for part in flat.slices(batch, 0) for s in shingle_sets(part.column(0))):
+            if not len(s):
+                continue
+            name = signature(s)
+            if name in seen:
+                continue
+            if len(seen) > 200_000:
+                seen.clear()
+            seen.add(name)
+            rare = s
+            if len(known):
+                is_often = known[np.minimum(np.searchsorted(known, s), len(known) - 1)] == s
+                if is_often.any():
+                    rare = s[~is_often]
+                    # Some more than reach a prefix, as rare ones that clash count once.
+                    reach = len(s) + (-3 * len(s) // 4) + 1 - len(rare)
+                    if reach > 0:
+                        top = s[is_often][: reach + 8]
+                        often.append(top)
+                        often_at.append(np.full(len(top), len(nodes)))
+            hs.append(rare)
+            ats.append(np.full(len(rare), len(nodes), np.int64))
+            nodes.append((name, len(s), len(rare)))
+            total += len(s)
+            if total > 1_000_000:
+                yield from packed(nodes, hs, ats, often, often_at)
+                nodes, hs, ats, often, often_at, total = [], [], [], [], [], 0
         if nodes:
             yield from packed(nodes, hs, ats, often, often_at)
 
@@ -264,7 +272,7 @@ def components(edges: DataFrame, folder: str, one_task: int = ONE_TASK_LINKS) ->
     # Large star and small star: neighbours are hung under the smallest until each component is one star.
     now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     before = None
-    for turn in range(60):
+    for turn in count():
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -315,7 +323,6 @@ def _labelled(docs: DataFrame, one_task: int = ONE_TASK_LINKS) -> DataFrame:
     )
     group = F.when(F.col("alone") == 0, F.xxhash64("n", "x")).otherwise(F.col("node"))
     prefix = kept(prefix.select("node", "n", "alone", "x", group.alias("g")), "prefix")
-    _free(spark)
     size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3))).cast("int")
     groups = prefix.groupBy("g", "n").agg(F.first("x").alias("x"), F.first("alone").alias("alone"), F.min("node").alias("rep"))
     lists = groups.select("g", "n", "rep", size.alias("size"), F.posexplode("x").alias("i", "h"), "alone").select("g", "n", "rep", "size", "h", (F.col("n") - F.col("alone") - F.col("i")).alias("r"))
@@ -331,17 +338,16 @@ def _labelled(docs: DataFrame, one_task: int = ONE_TASK_LINKS) -> DataFrame:
 
     def to_sets(batches):
         for batch in batches:
-            names, sets = [], []
-            for node, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s = shingles(x)
-                if signature(s) == node:  # rows that share a doc_id differ in their sets
-                    names.append(node)
-                    sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.binary())], names=["node", "set"])
+            for part in flat.slices(batch, 1):
+                names, sets = [], []
+                for node, s in zip(part.column(0).to_pylist(), shingle_sets(part.column(1)), strict=True):
+                    if signature(s) == node:  # rows that share a doc_id differ in their sets
+                        names.append(node)
+                        sets.append(s.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.binary())], names=["node", "set"])
 
     texts = wanted.join(docs.select(F.col("doc_id").alias("_id"), "text"), F.col("doc_id").eqNullSafe(F.col("_id")))
     sets = kept(texts.select("node", "text").mapInArrow(to_sets, "node bigint, set binary").dropDuplicates(["node"]), "sets")
-    _free(spark)
 
     # First each list to a leader of its own, and each group to its first member.
     inner = members.join(prefix.groupBy("g").agg(F.min("node").alias("rep")), "g").select(F.least("rep", "node").alias("a"), F.greatest("rep", "node").alias("b"))
@@ -366,8 +372,12 @@ def _labelled(docs: DataFrame, one_task: int = ONE_TASK_LINKS) -> DataFrame:
         if turn == 1:
             pairs = star(open_lists, 1).where("one.root <> two.root")
         else:
-            pairs = open_lists.select("h", F.col("x").alias("one")).join(open_lists.select("h", F.col("x").alias("two")), "h")
-            pairs = pairs.where((F.col("one.node") < F.col("two.node")) & (F.col("one.root") != F.col("two.root")) & _possible("one", "two"))
+            # A pair meets over the first shingle that both prefixes hold, and nowhere else.
+            whole = prefix.select(F.col("node").alias("_n"), F.col("x").alias("prefix"))
+            named = open_lists.join(whole, F.col("x.node") == F.col("_n")).select("h", F.struct("x.*", "prefix").alias("x"))
+            first = F.get(F.array_intersect("one.prefix", "two.prefix"), 0) == F.col("a.h")
+            met = (F.col("a.h") == F.col("b.h")) & (F.col("one.node") < F.col("two.node")) & (F.col("one.root") != F.col("two.root")) & _possible("one", "two") & first
+            pairs = named.select("h", F.col("x").alias("one")).alias("a").join(named.select("h", F.col("x").alias("two")).alias("b"), met)
         more = ours(pairs)
         if turn == 2:  # members of one group in different components meet as well
             grouped = members.join(roots, "node", "left").select("g", F.struct("node", F.coalesce("root", "node").alias("root")).alias("x"))
