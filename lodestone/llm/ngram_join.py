@@ -418,8 +418,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     def name(batches):
         for batch in batches:
-            nodes = [signature(s) if len(s) else None for s in map(shingles, batch.column(at).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.int64())], names=[*columns, "_node"])
+            for part in flat.slices(batch, at):
+                nodes = [signature(s) if len(s) else None for s in shingle_sets(part.column(at))]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(nodes, pa.int64())], names=[*columns, "_node"])
 
     named = docs.mapInArrow(name, StructType([*docs.schema.fields, StructField("_node", LongType())]))
     same_id = F.col("doc_id").eqNullSafe(F.col("_id"))

@@ -2,7 +2,7 @@
 
 The entropy of a window is kept by incremental counts: moving the window by one character changes two counts, so a
 candidate of n characters costs n steps whatever the window. No pattern of the allow-list backtracks by more than a constant
-times the length of a candidate. Rows never leave their partition; memory is one Arrow batch.
+times the length of a candidate. Rows never leave their partition; memory is one slice of an Arrow batch.
 
 Cases: a null or empty text has no spans; a null ``doc_id`` and repeated rows are kept, one output row per input row; other
 columns are ignored; an empty table gives an empty result; spans are in code points, end exclusive.
@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.llm.flat import slices
+
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_alnum", "entropy_base64")
 ORDER = {k: i for i, k in enumerate(KINDS)}
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -145,12 +147,13 @@ def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     def spans(batches):
         for batch in batches:
-            rows = []
-            for x in batch.column(1).to_pylist():
-                base, every = scan(x)
-                known = set(base)
-                rows.append([{"start": s, "kind": k, "end": e, "base": (s, k, e) in known} for s, k, e in every])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], names=[key, "spans"])
+            for part in slices(batch, 1):
+                rows = []
+                for x in part.column(1).to_pylist():
+                    base, every = scan(x)
+                    known = set(base)
+                    rows.append([{"start": s, "kind": k, "end": e, "base": (s, k, e) in known} for s, k, e in every])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, kind)], names=[key, "spans"])
 
     return docs.select(key, text).mapInArrow(spans, schema)
 
@@ -180,8 +183,9 @@ def redact_secrets(docs: DataFrame, text: str = "text", n_chars: str = "n_chars"
 
     def masked(batches):
         for batch in batches:
-            new = pa.array([redact(x) for x in batch.column(at).to_pylist()], batch.schema.field(at).type)
-            yield batch.set_column(at, batch.schema.field(at), new)
+            for part in slices(batch, at):
+                new = pa.array([redact(x) for x in part.column(at).to_pylist()], part.schema.field(at).type)
+                yield part.set_column(at, part.schema.field(at), new)
 
     out = docs.mapInArrow(masked, docs.schema)
     return out.withColumn(n_chars, F.length(text).cast(docs.schema[n_chars].dataType)) if n_chars in columns else out

@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.llm.flat import slices
+
 WINDOW, STEP, GRAM, CONTEXT = 48, 36, 5, 4
 LEVELS = (1, 2, 3, 4, 5, 6)
 
@@ -232,9 +234,10 @@ def score_table(docs: DataFrame, model: Model) -> DataFrame:
 
     def score(batches):
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            found = _scorer(model).scores(texts) if model.fitted and texts else np.zeros(len(texts))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=schema.names)
+            for part in slices(batch, at):
+                texts = part.column(at).to_pylist()
+                found = _scorer(model).scores(texts) if model.fitted and texts else np.zeros(len(texts))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.float64())], names=schema.names)
 
     return docs.mapInArrow(score, schema)
 
