@@ -108,34 +108,49 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(x @ np.array(m.weights[1:]) + m.weights[0], -30, 30)))
 
 
-def _grams(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Each gram with the bytes before it, as integers."""
+def _grams(data: bytes) -> np.ndarray:
+    """Each gram as an integer of forty bits, with spaces around the text."""
     x = np.frombuffer(b" " * CONTEXT + data + b" " * GRAM, np.uint8).astype(np.uint64)
     m = len(x) - GRAM - CONTEXT + 1
-    gram, before = np.zeros(m, np.uint64), np.zeros(m, np.uint64)
+    gram = np.zeros(m, np.uint64)
     for j in range(GRAM):
         gram = (gram << np.uint64(8)) | x[CONTEXT + j : CONTEXT + j + m]
+    return gram
+
+
+def _befores(data: bytes) -> np.ndarray:
+    """24 bits of a hash of the bytes before each gram."""
+    x = np.frombuffer(b" " * CONTEXT + data + b" " * GRAM, np.uint8).astype(np.uint64)
+    m = len(x) - GRAM - CONTEXT + 1
+    before = np.zeros(m, np.uint64)
     for j in range(CONTEXT):
         before = (before << np.uint64(8)) | x[j : j + m]
-    return gram, before
+    return (before * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
 
 
 def _contexts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The grams, and in how many contexts each stands."""
+    """The grams, and in how many contexts each stands; gram and context share a number, so memory is eight bytes a byte and a copy."""
     if not texts:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    gram, before = (np.concatenate(x) for x in zip(*map(_grams, texts), strict=True))
-    order = np.lexsort((before, gram))
-    gram, before = gram[order], before[order]
-    new = np.ones(len(gram), bool)
-    new[1:] = (gram[1:] != gram[:-1]) | (before[1:] != before[:-1])
-    return np.unique(gram[new], return_counts=True)
+    both = np.empty(sum(len(t) + 1 for t in texts), np.uint64)
+    at = 0
+    for t in texts:
+        one = (_grams(t) << np.uint64(24)) | _befores(t)
+        both[at : at + len(one)] = one
+        at += len(one)
+    both.sort()
+    keep = np.ones(len(both), bool)
+    keep[1:] = both[1:] != both[:-1]
+    gram = both[keep] >> np.uint64(24)
+    del both, keep
+    start = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
+    return gram[start], np.diff(np.r_[start, len(gram)])
 
 
 def _stretches(texts: list[bytes], wanted: np.ndarray) -> list[bytes]:
     out = []
     for data in texts:
-        at = np.flatnonzero(np.isin(_grams(data)[0], wanted))
+        at = np.flatnonzero(np.isin(_grams(data), wanted))
         if len(at):
             first = np.r_[True, np.diff(at) > 1]
             out += [data[max(0, a - 1) : e + GRAM + 1] for a, e in zip(at[first], at[np.r_[first[1:], True]], strict=True)]
