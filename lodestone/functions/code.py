@@ -170,6 +170,10 @@ def chunk_id(path: str, kind: str, symbol: str | None, start: int, end: int, con
     return hashlib.sha256(f"{path}:{kind}:{symbol or ''}:{start}-{end}:{content.strip()}".encode()).hexdigest()[:16]
 
 
+def file_name(path: str) -> str:
+    return path.rpartition("/")[2]
+
+
 def _chunk(path, language, kind, symbol, parent, start, end, signature, content, **metadata) -> dict:
     return {
         "chunk_id": chunk_id(path, kind, symbol, start, end, content), "relative_path": path, "language": language, "chunk_type": kind, "symbol_name": symbol, "parent_symbol": parent,
@@ -198,7 +202,7 @@ def code_chunks(path: str, source: str, language: str = "python") -> list[dict]:
     if not source.strip():
         return []
     if tree is None:
-        return [_chunk(path, language, "block", None, None, 1, len(lines), None, source, syntax_error=True)]
+        return [_chunk(path, language, "block", file_name(path), None, 1, len(lines), None, source, syntax_error=True)]
     cut = lambda a, b: "\n".join(lines[a - 1 : b])
     out = []
     tops = [n for n in tree.body if isinstance(n, (*Function, ast.ClassDef))]
@@ -207,18 +211,18 @@ def code_chunks(path: str, source: str, language: str = "python") -> list[dict]:
     doc = tree.body[0].end_lineno if tree.body and ast.get_docstring(tree) is not None else 0
     end = min(max(imports), before) if imports else min(doc, before)
     if end > 0 and cut(1, end).strip():
-        out.append(_chunk(path, language, "module_header", None, None, 1, end, None, cut(1, end)))
+        out.append(_chunk(path, language, "module_header", f"module:{path}", None, 1, end, f"# Module {file_name(path)}", cut(1, end).rstrip()))
     for n in tops:
         a, b = _start(n), n.end_lineno
         if isinstance(n, ast.ClassDef):
             methods = [x for x in n.body if isinstance(x, Function)]
             stop = max(a, min(_start(m) for m in methods) - 1) if methods else b
             out.append(_chunk(path, language, "class", n.name, None, a, stop, class_signature(n), cut(a, stop), methods_count=len(methods)))
-            out += [_chunk(path, language, "method", m.name, n.name, _start(m), m.end_lineno, function_signature(m), cut(_start(m), m.end_lineno), is_async=isinstance(m, ast.AsyncFunctionDef)) for m in methods]
+            out += [_chunk(path, language, "method", f"{n.name}.{m.name}", n.name, _start(m), m.end_lineno, function_signature(m), cut(_start(m), m.end_lineno), is_async=isinstance(m, ast.AsyncFunctionDef)) for m in methods]
         else:
             out.append(_chunk(path, language, "function", n.name, None, a, b, function_signature(n), cut(a, b), is_async=isinstance(n, ast.AsyncFunctionDef)))
     if not out:
-        out.append(_chunk(path, language, "block", None, None, 1, len(lines), None, source))
+        out.append(_chunk(path, language, "block", file_name(path), None, 1, len(lines), None, source))
     return sorted(out, key=lambda c: (c["start_line"], c["end_line"]))
 
 
@@ -233,10 +237,10 @@ def doc_chunks(path: str, source: str, language: str = "markdown") -> list[dict]
     heads = [(i, len(m[1]), m[2].strip()) for i, x in enumerate(lines) if (m := HEADING.match(x.strip()))]
     whole = lambda a, b: "\n".join(lines[a:b])
     if not heads:
-        return [_chunk(path, language, "doc_section", None, None, 1, len(lines), None, source)]
+        return [_chunk(path, language, "doc_section", file_name(path), None, 1, len(lines), None, source)]
     out = []
     if whole(0, heads[0][0]).strip():
-        out.append(_chunk(path, language, "doc_section", "Preamble", None, 1, heads[0][0], None, whole(0, heads[0][0])))
+        out.append(_chunk(path, language, "doc_section", f"{file_name(path)}:preamble", None, 1, heads[0][0], None, whole(0, heads[0][0])))
     stack: list[tuple[int, str]] = []
     for k, (i, level, title) in enumerate(heads):
         while stack and stack[-1][0] >= level:
@@ -253,7 +257,7 @@ def chunks_of(path: str, source: str, language: str) -> list[dict]:
         return code_chunks(path, source)
     if language in ("markdown", "restructuredtext", "text") or path.endswith((".md", ".rst", ".txt")):
         return doc_chunks(path, source, language)
-    return [_chunk(path, language, "block", None, None, 1, max(1, len(source.splitlines())), None, source)] if source.strip() else []
+    return [_chunk(path, language, "block", file_name(path), None, 1, max(1, len(source.splitlines())), None, source)] if source.strip() else []
 
 
 #: Parsers by language and by extension; more can be added with ``register``.

@@ -204,6 +204,13 @@ def resolve_target(vertex: DataFrame, target: str) -> dict:
     raise LookupError(f"{target} is not known; near: {[r.name for r in near.orderBy('d', 'name').limit(3).collect()]}")
 
 
+#: Modules whose distribution has another name.
+DISTRIBUTIONS = {
+    "yaml": "pyyaml", "sklearn": "scikit-learn", "bs4": "beautifulsoup4", "pil": "pillow", "cv2": "opencv-python", "dotenv": "python-dotenv", "dateutil": "python-dateutil",
+    "jwt": "pyjwt", "psycopg2": "psycopg2-binary", "git": "gitpython",
+}
+
+
 def classify_imports(imports: DataFrame, files: DataFrame, manifest: set[str]) -> DataFrame:
     """imports with ``file`` and ``category``: internal, of the standard library, of the manifest, unresolved or unknown."""
     import sys
@@ -211,11 +218,12 @@ def classify_imports(imports: DataFrame, files: DataFrame, manifest: set[str]) -
     top = F.split(F.regexp_replace(F.coalesce("module", "name"), r"^\.+", ""), r"\.")[0]
     packages = files.where("language = 'python'").select(F.split("relative_path", "/")[0].alias("_top")).where("_top not like '%.py'").distinct()
     rows = resolve_imports(imports, files).withColumn("_t", top).join(packages.withColumn("_own", F.lit(True)), F.col("_t") == F.col("_top"), "left")
-    dist = F.lower(F.regexp_replace("_t", r"[-_.]+", "-"))
+    plain = F.lower(F.regexp_replace("_t", r"[-_.]+", "-"))
+    dist = F.coalesce(F.create_map(*[F.lit(x) for pair in DISTRIBUTIONS.items() for x in pair])[plain], plain)
     stdlib = F.array(*[F.lit(x) for x in sorted(sys.stdlib_module_names)])
     category = (
         F.when(F.col("file").isNotNull(), "INTERNAL").when((F.col("level") == 0) & F.array_contains(stdlib, F.col("_t")), "EXTERNAL_STDLIB")
-        .when((F.col("level") == 0) & dist.isin(*(sorted(manifest) or [""])), "EXTERNAL_MANIFEST")
+        .when((F.col("level") == 0) & (dist.isin(*(sorted(manifest) or [""])) | plain.isin(*(sorted(manifest) or [""]))), "EXTERNAL_MANIFEST")
         .when((F.col("level") > 0) | F.col("_own"), "UNRESOLVED_INTERNAL").otherwise("EXTERNAL_UNKNOWN")
     )
     return rows.withColumn("category", category).drop("_t", "_top", "_own")

@@ -124,18 +124,23 @@ def churn_window(spark, sf_dir):
 
 @query("select event_id, ts, event_type from events where user_id = 7 and event_type <> 'view' order by ts desc, event_id limit 50")
 def history_user(spark, sf_dir):
-    return table(spark, sf_dir, "events").where("user_id = 7 and event_type <> 'view'").orderBy(F.desc("ts"), "event_id").limit(50).select("event_id", "ts", "event_type")
+    e = table(spark, sf_dir, "events").where("event_type <> 'view'")
+    commits = e.select(
+        "event_id", "ts", "event_type", F.col("event_id").cast("string").alias("full_hash"), F.col("ts").alias("author_date"), F.concat(F.lit("user "), F.col("user_id").cast("string"), F.lit(".")).alias("author_name"),
+        F.lit("").alias("author_email"), F.struct((-F.unix_micros(F.col("ts").cast("timestamp"))).alias("t"), "event_id").alias("seq"),
+    )
+    return T.history(commits, author="user 7.", limit=50).select("event_id", "ts", "event_type")
 
 
 # --- vectors ------------------------------------------------------------------------------------------------------------
 
 _COS = "greatest(0.0, least(1.0, list_cosine_similarity(e.embedding::double[], q.embedding::double[])))"
 _BEST = f"""select q.vec_id as query_id, e.vec_id as id, {_COS} as s, row_number() over (partition by q.vec_id order by round({_COS}, 9) desc, e.vec_id) as rank
-    from embeddings e, (select * from embeddings where vec_id < 10) q where e.vec_id <> q.vec_id"""
+    from embeddings e, (select * from embeddings where vec_id % 100 = 0) q where e.vec_id <> q.vec_id"""
 
 
 def _queries(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
 
 
 @query(f"select query_id, id, round(s, 6) as score, rank from ({_BEST}) where rank <= 10")
@@ -194,12 +199,12 @@ def hash_embed_items(spark, sf_dir):
 
 @query(
     f"""with d as {_hash_sql('documents', 'doc_id')}, q as {_hash_sql('benchmark', 'item_id')},
-    s as (select q.id as query_id, d.id, round(greatest(0, least(1, sum(d.weight * q.weight))), 6) as score from d join q using (idx) where q.id < 5 group by all),
+    s as (select q.id as query_id, d.id, round(greatest(0, least(1, sum(d.weight * q.weight))), 6) as score from d join q using (idx) where q.id % 100 = 0 group by all),
     r as (select *, row_number() over (partition by query_id order by score desc, id) as rank from s) select query_id, id, score, rank from r where rank <= 5"""
 )
 def doc_search(spark, sf_dir):
     d = V.hash_embedding(table(spark, sf_dir, "documents"), "doc_id", "text")
-    q = V.hash_embedding(table(spark, sf_dir, "benchmark").where("item_id < 5"), "item_id", "text")
+    q = V.hash_embedding(table(spark, sf_dir, "benchmark").where("item_id % 100 = 0"), "item_id", "text")
     s = V.sparse_scores(d, q).withColumn("score", F.round("score", 6))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return s.withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("query_id", "id", "score", "rank")
@@ -479,12 +484,18 @@ def ingest_filter(spark, sf_dir):
     return d.select("doc_id", "path", skip_reason(F.col("path"), F.col("n_chars"), F.col("content"), 3000).alias("reason"))
 
 
-@query("select doc_id, substr(sha256('d/' || doc_id || '.md:doc_section::1-' || len(string_split(text, chr(10))) || ':' || trim(text, ' ' || chr(9) || chr(10) || chr(13))), 1, 16) as chunk_id from documents")
+@query(
+    """select doc_id, 'd/' || doc_id || '.csv' as relative_path, 'block' as chunk_type, doc_id || '.csv' as symbol_name, len(string_split(rtrim(text, chr(10)), chr(10)))::int as end_line,
+      substr(sha256('d/' || doc_id || '.csv:block:' || doc_id || '.csv:1-' || len(string_split(rtrim(text, chr(10)), chr(10))) || ':' || trim(text, ' ' || chr(9) || chr(10) || chr(13))), 1, 16) as chunk_id
+    from documents where trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)) <> ''"""
+)
 def chunk_ids(spark, sf_dir):
+    from lodestone.functions.code import chunk_files
+
     d = table(spark, sf_dir, "documents")
-    text = F.trim("text", F.lit(" \t\n\r"))
-    whole = F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".md:doc_section::1-"), F.size(F.split("text", "\n")).cast("string"), F.lit(":"), text)
-    return d.select("doc_id", F.substring(F.sha2(F.encode(whole, "UTF-8"), 256), 1, 16).alias("chunk_id"))
+    files = d.select(F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".csv")).alias("relative_path"), F.col("text").alias("content"), F.lit("csv").alias("language"))
+    out = chunk_files(files)
+    return out.select(F.regexp_extract("relative_path", r"(\d+)\.csv$", 1).cast("bigint").alias("doc_id"), "relative_path", "chunk_type", "symbol_name", "end_line", "chunk_id")
 
 
 @query(
@@ -531,3 +542,7 @@ def dependencies_transitive(spark, sf_dir):
     e = _depends(spark, sf_dir)
     start = spark.createDataFrame([("nation:3",)], "root string")
     return G.reach(e, start, 2, ("IMPORTS", "CALLS")).select("node", "depth")
+
+
+# Modules that register further queries here.
+from lodestone.plans import code_rows  # noqa: E402, F401

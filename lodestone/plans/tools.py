@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from lodestone.operators import temporal as T
 from lodestone.operators import vector as V
 from lodestone.plans.intent import retrieval_kind
 from lodestone.plans.investigation import ToolRegistry
+from lodestone.session import checkpoint_root
 from lodestone.sources.repository import load_repository, safe_slice
 
 
@@ -83,13 +86,20 @@ class Workspace:
         e = self.edge_log.where("edge_type = 'IMPORTS'").select(F.substring("src", 6, 1 << 20).alias("src_file"), F.substring("dst", 6, 1 << 20).alias("dst_file"))
         return S.quotient_graph(e, self.files.select(F.col("relative_path").alias("file"), S.module_of(F.col("relative_path")).alias("module")))
 
+    @cached_property
+    def embedded(self) -> DataFrame:
+        """The embeddings of all chunks, written once and read by every search."""
+        named = self.chunks.withColumn("_t", V.embedding_text("relative_path", "symbol_name", "signature", "content"))
+        path = f"{checkpoint_root(self.spark)}/chunk_embeddings_{uuid.uuid4().hex}"
+        V.hash_embedding(named, "chunk_id", "_t").write.parquet(path)
+        return self.spark.read.parquet(path)
+
     def search(self, query: str, top_k: int = 5, use_graph: bool = True, intent: str | None = None) -> DataFrame:
         """Chunks by hash embeddings, with neighbours in the graph."""
-        named = self.chunks.withColumn("_t", V.embedding_text("relative_path", "symbol_name", "signature", "content"))
-        docs = V.hash_embedding(named, "chunk_id", "_t")
+        docs = self.embedded
         q = self.spark.createDataFrame([("q", query)], "id string, text string")
         scores = V.sparse_scores(docs, V.hash_embedding(q, "id", "text")).select("id", "score")
-        node = F.when(F.col("chunk_type") == "method", F.concat(F.lit("method:"), "relative_path", F.lit(":"), "parent_symbol", F.lit("."), "symbol_name")).when(
+        node = F.when(F.col("chunk_type") == "method", F.concat(F.lit("method:"), "relative_path", F.lit(":"), "symbol_name")).when(
             F.col("chunk_type").isin("class", "function"), F.concat("chunk_type", F.lit(":"), "relative_path", F.lit(":"), "symbol_name")
         )
         nodes = self.chunks.select("chunk_id", F.coalesce(node, C.file_id("relative_path")).alias("node")).dropDuplicates(["node"])

@@ -40,9 +40,11 @@ def ensure_worker_path(spark: SparkSession) -> None:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder for written intermediate tables: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The shared folder for written intermediate tables: spark.checkpoint.dir. Only a local master, as in tests, has a default."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "/tmp/lodestone-checkpoints"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

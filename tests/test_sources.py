@@ -94,9 +94,9 @@ def test_parsing_chunking_complexity(spark, tree):
     assert total == {"src/main.py": (11, 6, True), "src/bad.py": (1, 1, False)}
     chunks = code.chunk_files(files).collect()
     kinds = [(c.chunk_type, c.symbol_name, c.start_line) for c in chunks if c.relative_path == "src/main.py"]
-    assert kinds == [("module_header", None, 1), ("class", "Service", 6), ("method", "run", 9), ("method", "helper", 15), ("function", "main", 18)]
+    assert kinds == [("module_header", "module:src/main.py", 1), ("class", "Service", 6), ("method", "Service.run", 9), ("method", "Service.helper", 15), ("function", "main", 18)]
     docs = [(c.symbol_name, c.parent_symbol, c.start_line, c.end_line) for c in chunks if c.relative_path == "README.md"]
-    assert docs == [("Preamble", None, 1, 1), ("One", None, 2, 3), ("Two", "One", 4, 5), ("Three", None, 6, 7)]
+    assert docs == [("README.md:preamble", None, 1, 1), ("One", None, 2, 3), ("Two", "One", 4, 5), ("Three", None, 6, 7)]
     assert all(len(c.chunk_id) == 16 for c in chunks)
 
 
