@@ -1,9 +1,9 @@
 """Language-model scores from an Elias-Fano n-gram trie.
 
 Training counts are kept in shards of a trie: level one the context words, level two the successors of each context. Both
-levels are Elias-Fano coded monotone sequences in memory-mapped files, with quantised probabilities beside them; pointers
-from a context to its successors are Elias-Fano coded too. A query looks its context up and searches the successor in the
-context's own range.
+levels are Elias-Fano coded monotone sequences in memory-mapped files, with quantised discounted counts beside them, the
+numerators of smoothed probabilities; pointers from a context to its successors, and sums of counts, are Elias-Fano coded too.
+A query looks its context up, reads the ends of its range from the pointers, and searches the successor in that range.
 
     p(w | v) = max(c(v, w) - D, 0) / c(v) + D * T(v) / c(v) * p(w),   p(w) = (c(w) + 0.1) / (N + 0.1 * (V + 1))
 
@@ -26,10 +26,12 @@ import uuid
 import zlib
 
 import numpy as np
-import xxhash
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm import flat
+from lodestone.llm.batches import dealt
 from lodestone.session import checkpoint_root
 
 START, END = 2, 1
@@ -48,6 +50,15 @@ def quantised(p: np.ndarray) -> np.ndarray:
 
 LEVELS = np.r_[10.0 ** (-np.arange(STEPS) * DECADES / (STEPS - 1)), 0.0]
 NONE = STEPS
+#: Stored are quantised log10 values of discounted counts, the numerators of probabilities: 65,535 steps over 16 decades from
+#: 0.1. They are the same however the pairs of a context are dealt to shards.
+COUNT_STEPS, COUNT_DECADES = 65_535, 16.0
+COUNT_LEVELS = np.r_[10.0 ** (np.arange(COUNT_STEPS) * COUNT_DECADES / (COUNT_STEPS - 1) - 1), 0.0]
+NO_COUNT = COUNT_STEPS
+
+
+def quantised_counts(x: np.ndarray) -> np.ndarray:
+    return np.clip(np.round((np.log10(np.maximum(x, 0.1)) + 1) * (COUNT_STEPS - 1) / COUNT_DECADES), 0, COUNT_STEPS - 1).astype(np.uint16)
 
 
 class EliasFano:
@@ -97,17 +108,36 @@ class EliasFano:
             low = np.zeros(b - a, np.uint64)
         return (at.astype(np.uint64) << np.uint64(self.low)) | low
 
-    def search(self, keys: np.ndarray) -> np.ndarray:
-        """For sorted keys the place of the first element that is not smaller, and -1 where it is not equal."""
+    def take(self, places: np.ndarray) -> np.ndarray:
+        """The elements at ascending places, block by block."""
+        out = np.empty(len(places), np.int64)
+        block = places // self.BLOCK
+        edges = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else block
+        for a, b in zip(edges, [*edges[1:], len(places)], strict=True):
+            out[a:b] = self.decode(int(block[a]))[places[a:b] - block[a] * self.BLOCK]
+        return out
+
+    def search(self, keys: np.ndarray, first: np.ndarray | None = None, stop: np.ndarray | None = None) -> np.ndarray:
+        """For sorted keys the place of the element that is equal, -1 without one; first, stop: the range that each key may lie in."""
         out = np.full(len(keys), -1, np.int64)
         if not self.n:
             return out
-        block = np.maximum(np.searchsorted(self.first, keys, side="right") - 1, 0)
-        edges = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+        if first is None:
+            block = np.maximum(np.searchsorted(self.first, keys, side="right") - 1, 0)
+        else:
+            # A range within one block names it; longer ranges are searched by the blocks' first elements.
+            block = first // self.BLOCK
+            long = np.flatnonzero((stop - 1) // self.BLOCK != block)
+            block[long] = np.maximum(np.searchsorted(self.first, keys[long], side="right") - 1, block[long])
+        edges = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else block
         for a, b in zip(edges, [*edges[1:], len(keys)], strict=True):
-            values = self.decode(int(block[a]))
-            at = np.minimum(np.searchsorted(values, keys[a:b]), len(values) - 1)
-            out[a:b] = np.where(values[at] == keys[a:b], at + int(block[a]) * self.BLOCK, -1)
+            values, base = self.decode(int(block[a])), int(block[a]) * self.BLOCK
+            at = np.searchsorted(values, keys[a:b])
+            near = np.minimum(at, len(values) - 1)
+            found = values[near] == keys[a:b]
+            if stop is not None:
+                found &= (near + base >= first[a:b]) & (near + base < stop[a:b])
+            out[a:b] = np.where(found, near + base, -1)
         return out
 
 
@@ -124,45 +154,53 @@ class TrieShard:
         first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]]) if len(context) else np.zeros(0, np.int64)
         size = np.diff(np.r_[first, len(context)])
         keys = context[first] if len(first) else context
-        # Probabilities are relative to what the shard has of a context; answers carry that total.
         total = np.add.reduceat(count, first) if len(first) else count
         rank = np.repeat(np.arange(len(first)), size)
         self.level1 = EliasFano(f"{folder}/1", keys)
         self.pointers = EliasFano(f"{folder}/p", np.r_[first, len(context)])
-        # A context's successors are a range of one monotone sequence.
+        # A context's successors are a range of one monotone sequence, whose ends the pointers give.
         self.level2 = EliasFano(f"{folder}/2", (rank.astype(np.uint64) << np.uint64(32)) | word.astype(np.uint64))
-        p = np.maximum(count - DISCOUNT, 0) / total[rank] if len(rank) else np.zeros(0)
-        quantised(p).tofile(f"{folder}/q")
-        self.probability = np.memmap(f"{folder}/q", np.uint8, "r") if len(p) else np.zeros(0, np.uint8)
-        self.successors, self.totals = size.astype(np.int64), total.astype(np.int64)
+        quantised_counts(count - DISCOUNT).tofile(f"{folder}/q")
+        self.counts = np.memmap(f"{folder}/q", np.uint16, "r") if len(count) else np.zeros(0, np.uint16)
+        # Sums of counts before each context are monotone too.
+        self.totals = EliasFano(f"{folder}/t", np.r_[0, np.cumsum(total)].astype(np.uint64))
+
+    def discounted(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For queries sorted by context and word: codes of the discounted counts (NO_COUNT without an entry), the context's successors here, and its rank, -1 where it is unknown."""
+        rank = self.level1.search(context)
+        codes, t = np.full(len(context), NO_COUNT, np.uint16), np.zeros(len(context), np.int64)
+        ok = np.flatnonzero(rank >= 0)
+        if len(ok):
+            first, stop = self.pointers.take(rank[ok]), self.pointers.take(rank[ok] + 1)
+            t[ok] = stop - first
+            at = self.level2.search((rank[ok].astype(np.uint64) << np.uint64(32)) | word[ok].astype(np.uint64), first, stop)
+            codes[ok] = np.where(at >= 0, self.counts[np.maximum(at, 0)], NO_COUNT)
+        return codes, t, rank
 
     def query(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For queries sorted by context and word: codes of the probabilities (NONE without an entry), and the context's successors and total here."""
-        rank = self.level1.search(context)
-        codes, t, total = np.full(len(context), NONE, np.uint8), np.zeros(len(context), np.int64), np.zeros(len(context), np.int64)
+        found, t, rank = self.discounted(context, word)
+        total = np.zeros(len(context), np.int64)
         ok = np.flatnonzero(rank >= 0)
         if len(ok):
-            t[ok], total[ok] = self.successors[rank[ok]], self.totals[rank[ok]]
-            at = self.level2.search((rank[ok].astype(np.uint64) << np.uint64(32)) | word[ok].astype(np.uint64))
-            codes[ok] = np.where(at >= 0, self.probability[np.maximum(at, 0)], NONE)
+            total[ok] = self.totals.take(rank[ok] + 1) - self.totals.take(rank[ok])
+        codes = np.where(found == NO_COUNT, NONE, quantised(COUNT_LEVELS[found] / np.maximum(total, 1))).astype(np.uint8)
         return codes, t, total
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word) | 4  # apart from START and END
-        return value
-
-
-_words = _Words()
+def token_rows(column) -> tuple[np.ndarray, np.ndarray]:
+    """(names, how many) of the tokens of each row of an Arrow column: lower-cased words and one end."""
+    words, ends = flat.words(column)
+    count = np.diff(ends) + 1
+    out = np.full(int(count.sum()), END, np.uint64)
+    out[np.arange(len(words)) + np.repeat(np.arange(len(count)), count - 1)] = words | np.uint64(4)  # apart from START and END
+    return out, count
 
 
 def tokens(text: str | None) -> np.ndarray:
-    """Names of the tokens: lower-cased words and one end."""
-    words = (text or "").encode().lower().split()
-    return np.fromiter((*map(_words.__getitem__, words), END), np.uint64, len(words) + 1)
+    import pyarrow as pa
+
+    return token_rows(pa.array([text], pa.large_string()))[0]
 
 
 def held_out(doc_id) -> bool:
@@ -172,40 +210,47 @@ def held_out(doc_id) -> bool:
 class Batch:
     """The different tokens and pairs of the documents of a batch, in an order that depends on them alone."""
 
-    def __init__(self, ids: list, texts: list, shards: int, hot: np.ndarray):
-        parts = [tokens(x) for x in texts]
-        self.length = np.array([len(p) for p in parts], np.int64)
+    def __init__(self, ids: list, texts, shards: int, hot: np.ndarray):
+        every, self.length = token_rows(texts)
         self.out = np.array([held_out(i) for i in ids], bool)
-        flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
         train = np.repeat(~self.out, self.length)
-        before = np.r_[np.uint64(START), flat[:-1]] if len(flat) else flat
-        begins = np.r_[0, np.cumsum(self.length)[:-1]] if len(parts) else np.zeros(0, np.int64)
+        before = np.r_[np.uint64(START), every[:-1]] if len(every) else every
+        begins = np.cumsum(self.length) - self.length
         before[begins] = START
-        u, inverse = np.unique(flat, return_inverse=True)
+        # Equal names are found by a hash table; only different ones are sorted, by shard and name.
+        seen, u = pd.factorize(every)
         shard = (u % np.uint64(shards)).astype(np.int64)
-        order = np.argsort(shard, kind="stable")
+        order = np.lexsort((u, shard))
         place = np.empty(len(u), np.int64)
         place[order] = np.arange(len(u))
-        self.token, self.token_shard, self.of_token = u[order], shard[order], place[inverse]
+        self.token, self.token_shard, self.of_token = u[order], shard[order], place[seen]
+        inverse = self.of_token
         self.token_count = np.bincount(self.of_token, weights=train, minlength=len(u)).astype(np.int64)
         # Pairs: names of words in pairs have 32 bits; the shard goes by the context, of a hot one by the word as well.
-        w = (flat >> np.uint64(32)).astype(np.uint32)
+        w = (every >> np.uint64(32)).astype(np.uint32)
         spread = np.isin(before, hot)
         shard = ((before * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(17)) + np.where(spread, w % np.uint32(SPREAD), 0).astype(np.uint64)) % np.uint64(shards)
         # By shard, context and word: places in the sorted tokens stand for both, so one key does.
         if len(u) < 1 << 22 and shards < 1 << 18:
-            left = np.r_[0, inverse[:-1] + 1] if len(flat) else inverse
+            left = np.r_[0, inverse[:-1] + 1] if len(every) else inverse
             left[begins] = 0
             order = np.argsort((shard.astype(np.int64) << 45) | (left.astype(np.int64) << 22) | inverse, kind="stable")
         else:
             order = np.lexsort((w, before, shard))
         s, c, x = shard[order], before[order], w[order]
-        new = np.r_[True, (c[1:] != c[:-1]) | (x[1:] != x[:-1]) | (s[1:] != s[:-1])] if len(flat) else np.zeros(0, bool)
-        self.of_pair = np.empty(len(flat), np.int64)
+        new = np.r_[True, (c[1:] != c[:-1]) | (x[1:] != x[:-1]) | (s[1:] != s[:-1])] if len(every) else np.zeros(0, bool)
+        self.of_pair = np.empty(len(every), np.int64)
         self.of_pair[order] = np.cumsum(new) - 1
         self.pair_shard, self.context, self.word = s[new].astype(np.int64), c[new], x[new]
         self.pair_count = np.bincount(self.of_pair, weights=train, minlength=len(self.word)).astype(np.int64)
-        self.before, self.flat = before, flat
+        self.before, self.flat = before, every
+
+
+def _whole(column):
+    """A chunked column as one array with wide offsets."""
+    import pyarrow as pa
+
+    return pa.concat_arrays([c.cast(pa.large_string()) for c in column.chunks]) if column.num_chunks else pa.array([], pa.large_string())
 
 
 def _cut(values: np.ndarray, shards: int):
@@ -234,8 +279,8 @@ def _unpacked(data: bytes, widths: dict[int, tuple]) -> tuple[int, list[np.ndarr
 
 #: kind 0: tokens and counts; kind 1: contexts, how many words each, words, counts.
 REQUEST = {0: ("<u8", "<u4"), 1: ("<u8", "<u4", "<u4", "<u4")}
-#: kind 0: counts; kind 1: codes, successors and totals; of a shard, kind 2: different tokens and tokens, kind 3: successors of each hot context.
-REPLY = {0: ("<i8",), 1: ("u1", "<i8", "<i8"), 2: ("<i8",), 3: ("<i8",)}
+#: kind 0: counts; kind 1: codes and successors; of a shard, kind 2: different tokens and tokens, kind 3: successors of each hot context.
+REPLY = {0: ("<i8",), 1: ("<u2", "<i8"), 2: ("<i8",), 3: ("<i8",)}
 
 
 def trie_scores(docs: DataFrame) -> DataFrame:
@@ -249,26 +294,26 @@ def trie_scores(docs: DataFrame) -> DataFrame:
 
     def hot_words(batches):
         for batch in batches:
-            ids, texts = (c.to_pylist() for c in batch.columns)
-            parts = [tokens(x) for i, x in zip(ids, texts, strict=True) if not held_out(i)]
-            u, c = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            total = int(c.sum())
-            keep = c >= max(1, share / 2 * total)
-            names = np.r_[u[keep], np.uint64(0), np.uint64(START)].view(np.int64)
-            counts = np.r_[c[keep], total, len(parts)].astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(counts)], names=["w", "c"])
+            for part in flat.slices(batch, 1):
+                names, length = token_rows(part.column(1))
+                train = ~np.array([held_out(i) for i in part.column(0).to_pylist()], bool)
+                which, u = pd.factorize(names[np.repeat(train, length)])
+                c = np.bincount(which, minlength=len(u))
+                total = int(c.sum())
+                keep = c >= max(1, share / 2 * total)
+                names = np.r_[u[keep], np.uint64(0), np.uint64(START)].view(np.int64)
+                counts = np.r_[c[keep], total, int(train.sum())].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(counts)], names=["w", "c"])
 
     # At most 2 / HOT_SHARE words of a batch; of all, those with a share of HOT_SHARE.
     seen = docs.select("doc_id", "text").mapInArrow(hot_words, "w bigint, c bigint").groupBy("w").agg(F.sum("c").alias("c"))
     n_train = seen.where("w = 0").select("c").first()
     often = seen.where((F.col("w") != 0) & (F.col("c") >= share * (n_train.c if n_train else 0))).select("w").limit(int(4 / share)).collect()
     hot = np.sort(np.array([r.w for r in often], np.int64).view(np.uint64))
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_batches = shards = int(max(spark.sparkContext.defaultParallelism, 1 + size // BATCH_BYTES))
-    dealt = docs.select("doc_id", "text", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(n_batches)), F.lit(0)).cast("int").alias("batch"))
+    rows, shards = dealt(docs, folder, BATCH_BYTES)
 
     def ask(table: pa.Table) -> pa.Table:
-        b = Batch(table.column("doc_id").to_pylist(), table.column("text").to_pylist(), shards, hot)
+        b = Batch(table.column("doc_id").to_pylist(), _whole(table.column("text")), shards, hot)
         name = table.column("batch")[0].as_py()
         to, payload = [], []
         for k, s in _cut(b.token_shard, shards):
@@ -306,11 +351,11 @@ def trie_scores(docs: DataFrame) -> DataFrame:
                 with tempfile.TemporaryDirectory() as place:
                     trie = TrieShard(place, c[keep], w[keep], n[keep])
                     for (name, _), ci, wi in zip(two, context, word, strict=True):
-                        codes, t, total = trie.query(ci, wi)
+                        codes, t, _ = trie.discounted(ci, wi)
                         first = np.flatnonzero(np.r_[True, ci[1:] != ci[:-1]])
-                        out.append((name, _packed(1, codes, t[first], total[first])))
+                        out.append((name, _packed(1, codes, t[first])))
                     if len(hot):
-                        out.append((-1, _packed(3, trie.query(hot, np.zeros(len(hot), np.uint32))[1])))
+                        out.append((-1, _packed(3, trie.discounted(hot, np.zeros(len(hot), np.uint32))[1])))
                     del trie
             for i in range(0, len(out), 16):
                 part = out[i : i + 16]
@@ -318,7 +363,7 @@ def trie_scores(docs: DataFrame) -> DataFrame:
                     [pa.array([x[0] for x in part], pa.int32()), pa.array([k] * len(part), pa.int32()), pa.array([x[1] for x in part], pa.binary())], names=["batch", "shard", "payload"]
                 )
 
-    requests = dealt.groupBy("batch").applyInArrow(ask, "batch int, shard int, payload binary")
+    requests = rows.groupBy("batch").applyInArrow(ask, "batch int, shard int, payload binary")
     requests.repartition(shards, "shard").mapInArrow(answer, "batch int, shard int, payload binary").write.parquet(f"{folder}/replies")
     replies = spark.read.parquet(f"{folder}/replies")
     sums = {2: np.zeros(2, np.int64), 3: np.zeros(len(hot), np.int64)}
@@ -331,15 +376,15 @@ def trie_scores(docs: DataFrame) -> DataFrame:
     schema = f"doc_id {key}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        b = Batch(left.column("doc_id").to_pylist(), left.column("text").to_pylist(), shards, hot)
+        b = Batch(left.column("doc_id").to_pylist(), _whole(left.column("text")), shards, hot)
         by: dict[tuple[int, int], list] = {}
         for k, payload in zip(right.column("shard").to_pylist(), right.column("payload").to_pylist(), strict=True):
             kind, a = _unpacked(payload, REPLY)
             by[kind, k] = a
         joined = lambda kind, i, t: np.concatenate([by[x][i] for x in sorted(by) if x[0] == kind]) if any(x[0] == kind for x in by) else np.zeros(0, t)
-        count, codes = joined(0, 0, np.int64), joined(1, 0, np.uint8)
-        # Successors and totals come for each stretch of a context within a shard; a hot context has several.
-        t_part, total_part = joined(1, 1, np.int64), joined(1, 2, np.int64)
+        count, codes = joined(0, 0, np.int64), joined(1, 0, np.uint16)
+        # Successors come for each stretch of a context within a shard; a hot context has several.
+        t_part = joined(1, 1, np.int64)
         new = np.r_[True, (b.context[1:] != b.context[:-1]) | (b.pair_shard[1:] != b.pair_shard[:-1])] if len(b.context) else np.zeros(0, bool)
         stretch = np.cumsum(new) - 1
         names, at = np.unique(b.context[new], return_inverse=True)
@@ -355,9 +400,9 @@ def trie_scores(docs: DataFrame) -> DataFrame:
         total[names == START] = n_start
         of_context = at[stretch[b.of_pair]]
         cv, tv = total[of_context], t[of_context]
-        direct = LEVELS[codes[b.of_pair]] * total_part[stretch[b.of_pair]] / np.maximum(cv, 1)
-        back = np.where(cv > 0, np.clip(DISCOUNT * tv / np.maximum(cv, 1), 1e-4, 1.0), 1.0)
-        p = np.where(cv > 0, np.minimum(direct + back * p1, 1.0), p1)
+        direct = COUNT_LEVELS[codes[b.of_pair]] / np.maximum(cv, 1)
+        back = np.where(cv > 0, DISCOUNT * tv / np.maximum(cv, 1), 1.0)
+        p = np.where(cv > 0, direct + back * p1, p1)
         first = np.r_[0, np.cumsum(b.length)[:-1]]
         add = lambda x: np.add.reduceat(x, first)
         return pa.table(
@@ -367,4 +412,4 @@ def trie_scores(docs: DataFrame) -> DataFrame:
             }
         )
 
-    return dealt.groupBy("batch").cogroup(replies.where("batch >= 0").groupBy("batch")).applyInArrow(score, schema)
+    return rows.groupBy("batch").cogroup(replies.where("batch >= 0").groupBy("batch")).applyInArrow(score, schema)

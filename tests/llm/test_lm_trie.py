@@ -91,5 +91,34 @@ def test_successors_of_hot_contexts_are_exact(spark, monkeypatch, batch_bytes):
         assert abs(r.score - want[r.doc_id][5]) <= 0.0175 * r.n_tokens, (r, want[r.doc_id])  # half a step of quantisation a token
 
 
+def test_scores_do_not_depend_on_shards(spark, monkeypatch):
+    monkeypatch.setattr(lm_trie, "HOT_SHARE", 0.02)
+    pick = random.Random(4)
+    words = ["the", "of", "and"] * 30 + [f"w{i}" for i in range(150)]
+    rows = [(i, " ".join(pick.choice(words) for _ in range(60))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = []
+    for size in (12 << 20, 4000, 700):
+        monkeypatch.setattr(lm_trie, "BATCH_BYTES", size)
+        found.append({r.doc_id: r.score for r in trie_scores(docs).collect()})
+    assert all(abs(found[0][k] - f[k]) < 1e-9 * abs(f[k]) for f in found[1:] for k in f)
+    want = plain(rows)
+    assert all(abs(found[0][k] - want[k][5]) <= 0.00013 * want[k][1] for k in want)  # half a step a token
+
+
+def test_ranges_through_pointers(tmp_path, monkeypatch):
+    monkeypatch.setattr(EliasFano, "BLOCK", 16)
+    pick = np.random.default_rng(5)
+    pairs = np.unique(pick.integers(0, 40, 900) * 1000 + pick.integers(0, 90, 900))
+    c, w = (pairs // 1000).astype(np.uint64), (pairs % 1000).astype(np.uint32)
+    shard = TrieShard(str(tmp_path), c, w, np.arange(1, len(c) + 1))
+    asked = np.array([(a, b) for a in range(42) for b in range(0, 95)])
+    codes, t, _ = shard.discounted(asked[:, 0].astype(np.uint64), asked[:, 1].astype(np.uint32))
+    known = {(int(a), int(b)): n + 0.25 for n, (a, b) in enumerate(zip(c, w))}  # noqa: B905
+    for (a, b), code, size in zip(asked.tolist(), codes.tolist(), t.tolist()):  # noqa: B905
+        assert size == int((c == a).sum()) and (code == lm_trie.NO_COUNT) == ((a, b) not in known)
+        assert code == lm_trie.NO_COUNT or abs(lm_trie.COUNT_LEVELS[code] / known[a, b] - 1) < 0.0004
+
+
 def test_empty(spark):
     assert trie_scores(spark.createDataFrame([], "doc_id long, text string")).count() == 0
