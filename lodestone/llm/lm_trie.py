@@ -70,10 +70,8 @@ class EliasFano:
         values = values.astype(np.uint64)
         self.n, self.top = len(values), int(values[-1]) + 1 if len(values) else 1
         self.low = max(0, (self.top // max(1, self.n)).bit_length() - 1)
-        bits = ((values[:, None] >> np.arange(self.low, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8).reshape(-1) if self.low <= 24 else None
-        # Low parts over 24 bits are stored as whole bytes.
-        self.wide = bits is None
-        low = np.packbits(bits, bitorder="little") if not self.wide else np.ascontiguousarray((values & np.uint64((1 << self.low) - 1)).view(np.uint8).reshape(-1, 8)[:, : (self.low + 7) // 8]).reshape(-1)
+        # Low parts are whole bytes each.
+        low = np.ascontiguousarray((values & np.uint64((1 << self.low) - 1)).view(np.uint8).reshape(-1, 8)[:, : (self.low + 7) // 8]).reshape(-1)
         high = (values >> np.uint64(self.low)).astype(np.int64) + np.arange(self.n)
         unary = np.zeros(int(high[-1]) + 1 if self.n else 1, np.uint8)
         unary[high] = 1
@@ -95,17 +93,11 @@ class EliasFano:
         bits = np.unpackbits(self.parts[1][start // 8 : (stop + 7) // 8], bitorder="little")
         at = np.flatnonzero(bits) + start // 8 * 8
         at = at[(at >= start)][: b - a] - np.arange(a, b)
-        if self.wide:
-            size = (self.low + 7) // 8
-            raw = np.zeros((b - a, 8), np.uint8)
+        size = (self.low + 7) // 8
+        raw = np.zeros((b - a, 8), np.uint8)
+        if size:
             raw[:, :size] = np.asarray(self.parts[0][a * size : b * size]).reshape(-1, size)
-            low = raw.view(np.uint64).reshape(-1)
-        elif self.low:
-            begin = a * self.low
-            bits = np.unpackbits(self.parts[0][begin // 8 : (b * self.low + 7) // 8], bitorder="little")[begin % 8 :][: (b - a) * self.low]
-            low = bits.reshape(-1, self.low).astype(np.uint64) @ (np.uint64(1) << np.arange(self.low, dtype=np.uint64))
-        else:
-            low = np.zeros(b - a, np.uint64)
+        low = raw.view(np.uint64).reshape(-1)
         return (at.astype(np.uint64) << np.uint64(self.low)) | low
 
     def take(self, places: np.ndarray) -> np.ndarray:
@@ -145,8 +137,9 @@ class TrieShard:
     """Counted pairs of a shard: contexts and the 32-bit names of their successors."""
 
     def __init__(self, folder: str, context: np.ndarray, word: np.ndarray, count: np.ndarray):
-        order = np.lexsort((word, context))
-        context, word, count = context[order], word[order], count[order]
+        if not ((context[1:] > context[:-1]) | (context[1:] == context[:-1]) & (word[1:] >= word[:-1])).all():
+            order = np.lexsort((word, context))
+            context, word, count = context[order], word[order], count[order]
         new = np.r_[True, (context[1:] != context[:-1]) | (word[1:] != word[:-1])] if len(context) else np.zeros(0, bool)
         start = np.flatnonzero(new)
         count = np.add.reduceat(count, start) if len(start) else count
@@ -337,23 +330,37 @@ def trie_scores(docs: DataFrame) -> DataFrame:
             two = [(name, a) for name, kind, a in got if kind == 1]
             out = []
             if one:
-                u, at = np.unique(np.concatenate([a[0] for _, a in one]), return_inverse=True)
+                at, u = pd.factorize(np.concatenate([a[0] for _, a in one]))
                 count = np.bincount(at, weights=np.concatenate([a[1] for _, a in one])).astype(np.int64)
                 at_end = np.cumsum([len(a[0]) for _, a in one])
                 for (name, _), part in zip(one, np.split(at, at_end[:-1]), strict=True):
                     out.append((name, _packed(0, count[part])))
                 out.append((-1, _packed(2, np.array([(count > 0).sum(), count.sum()], np.int64))))
             if two:
-                context = [np.repeat(a[0], a[1]) for _, a in two]
-                word, count = [a[2] for _, a in two], [a[3].astype(np.int64) for _, a in two]
-                c, w, n = np.concatenate(context), np.concatenate(word), np.concatenate(count)
+                context = np.concatenate([np.repeat(a[0], a[1]) for _, a in two])
+                word, count = np.concatenate([a[2] for _, a in two]), np.concatenate([a[3] for _, a in two])
+                # Different pairs in order, and which of them each request is: all batches are answered in one pass.
+                which, names = pd.factorize(context)
+                by_name = np.argsort(names)
+                rank = np.empty(len(names), np.uint64)
+                rank[by_name] = np.arange(len(names), dtype=np.uint64)
+                key = (rank[which] << np.uint64(32)) | word
+                order = np.argsort(key, kind="stable")
+                key = key[order]
+                new = np.ones(len(key), bool)
+                new[1:] = key[1:] != key[:-1]
+                start = np.flatnonzero(new)
+                which = np.empty(len(key), np.int64)
+                which[order] = np.cumsum(new) - 1
+                n = np.add.reduceat(count[order].astype(np.int64), start)
+                c, w = names[by_name][(key[start] >> np.uint64(32)).astype(np.int64)], key[start].astype(np.uint32)
                 keep = n > 0
                 with tempfile.TemporaryDirectory() as place:
                     trie = TrieShard(place, c[keep], w[keep], n[keep])
-                    for (name, _), ci, wi in zip(two, context, word, strict=True):
-                        codes, t, _ = trie.discounted(ci, wi)
-                        first = np.flatnonzero(np.r_[True, ci[1:] != ci[:-1]])
-                        out.append((name, _packed(1, codes, t[first])))
+                    codes, t, _ = trie.discounted(c, w)
+                    ends = np.cumsum([len(a[2]) for _, a in two])
+                    for (name, a), own in zip(two, np.split(which, ends[:-1]), strict=True):
+                        out.append((name, _packed(1, codes[own], t[own[np.cumsum(a[1], dtype=np.int64) - a[1]]])))
                     if len(hot):
                         out.append((-1, _packed(3, trie.discounted(hot, np.zeros(len(hot), np.uint32))[1])))
                     del trie
