@@ -39,9 +39,9 @@ BROADCAST_WINDOWS = 1_000_000
 
 
 def _stripped(text: Column) -> Column:
-    """Without punctuation at the edges of words; a word of punctuation only stays, so that words keep their places."""
-    out = F.regexp_replace(text, r"(?<=[\p{L}\p{N}>%])[.,;:!?\"')\]]+(?=\s|$)", "")
-    return F.regexp_replace(out, r"(?<=^|\s)[\"'(\[]+(?=[\p{L}\p{N}<$€£])", "")
+    """Without punctuation at the edges of words, found by the character itself before its surroundings; a word of punctuation only stays, so that words keep their places."""
+    out = F.regexp_replace(text, r"(?=[.,;:!?\"')\]])(?<=[\p{L}\p{N}>%])[.,;:!?\"')\]]+(?=\s|$)", "")
+    return F.regexp_replace(out, r"(?=[\"'(\[])(?<=^|\s)[\"'(\[]+(?=[\p{L}\p{N}<$€£])", "")
 
 
 def _value_text(text: Column) -> Column:
@@ -50,53 +50,58 @@ def _value_text(text: Column) -> Column:
 
 
 def _words(text: Column) -> Column:
-    t = F.trim(text, F.lit(SPACE))
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, r"[\x20\x09-\x0D]+"))
+    """Only a text without words gives an empty string; a condition on the text would compute it twice."""
+    return F.array_remove(F.split(F.trim(text, F.lit(SPACE)), r"[\x20\x09-\x0D]+"), "")
 
 
 def _typed(t: Column) -> Column:
     """Numbers and units as placeholders."""
     units = "|".join(UNITS)
-    number = r"(?<=^|\s)[$€£+(-]*\d[\d.,:/]*(?:st|nd|rd|th|%)?[).,;:!?]*(?=\s|$)"
-    glued = rf"(?<=^|\s)[+(-]*\d[\d.,]*(?:{units})[).,;:!?]*(?=\s|$)"
+    number = r"(?=[$€£+(\d-])(?<=^|\s)[$€£+(-]*\d[\d.,:/]*(?:st|nd|rd|th|%)?[).,;:!?]*(?=\s|$)"
+    glued = rf"(?=[+(\d-])(?<=^|\s)[+(-]*\d[\d.,]*(?:{units})[).,;:!?]*(?=\s|$)"
     typed = F.regexp_replace(F.regexp_replace(t, number, NUMBER), rf"(?i){glued}", NUMBER + UNIT)
     typed = F.regexp_replace(typed, rf"(?i)({NUMBER}\s+)(?:{units})[).,;:!?]*(?=\s|$)", "$1" + UNIT)
     return F.when(t.rlike(r"\d"), typed).otherwise(t)
 
 
-#: A word that counts as a name where it is not the first of its window.
-NAME_PATTERN = r"(?<=[^.!?:\s]\s)[\"'(]*(\p{Lu}[\p{L}'’-]*)"
+#: A word that counts as a name where it is not the first of its window. Patterns test the next character first: what stands
+#: before it is looked at in few places only.
+NAME_PATTERN = r"(?=[\"'(\p{Lu}])(?<=[^.!?:\s]\s)[\"'(]*(\p{Lu}[\p{L}'’-]*)"
 #: A word that counts as a name in the second template.
-CAPITAL_PATTERN = r"(?<=^|\s)[\"'(\[]*(\p{Lu}[\p{L}'’-]*)"
+CAPITAL_PATTERN = r"(?=[\"'(\[\p{Lu}])(?<=^|\s)[\"'(\[]*(\p{Lu}[\p{L}'’-]*)"
 CAPITAL = "<cap>"
 
 
 def window_hashes(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """keys, n_windows, at, h: the templates alone, on arrays of numbers."""
+    """keys, n_windows, at, h: the templates alone, of words as numbers.
+
+    A word's number is its hash with two low bits for what it is: 0 a plain word, 1 with a capital, 2 a name of the first
+    template. Only this number is made within an array; windows are made of rows, where all expressions are compiled.
+    """
     t = F.coalesce(F.col(text), F.lit(""))
     marked = F.regexp_replace(F.regexp_replace(_typed(t), NAME_PATTERN, NAME + "$1"), CAPITAL_PATTERN, CAPITAL + "$1")
-    step = texts.select(*keys, _words(_stripped(F.lower(marked))).alias("_m"))
-    name, capital = lambda x: x.startswith(NAME), lambda x: x.startswith(CAPITAL)
-    after = lambda x, mark: F.substring(x, len(mark) + 1, 1 << 30)
-    step = step.select(
-        *keys,
-        F.transform("_m", lambda x: F.xxhash64(F.when(name(x), after(x, NAME)).when(capital(x), after(x, CAPITAL)).otherwise(x))).alias("_f"),
-        F.transform("_m", lambda x: F.xxhash64(F.when(name(x), F.lit(NAME)).when(capital(x), after(x, CAPITAL)).otherwise(x))).alias("_c"),
-        F.transform("_m", lambda x: F.xxhash64(F.when(name(x) | capital(x), F.lit(NAME)).otherwise(x))).alias("_b"),
-    )
-
-    def windows(f: Column, c: Column) -> Column:
-        return (
-            F.when(F.size(c) >= WINDOW, F.transform(F.sequence(F.lit(0), F.size(c) - WINDOW), lambda i: F.xxhash64(F.get(f, i), *[F.get(c, i + k) for k in range(1, WINDOW)])))
-            .when(F.size(c) > 0, F.array(F.xxhash64(F.lit("short"), F.concat(F.slice(f, 1, 1), F.slice(c, 2, WINDOW)))))
-            .otherwise(F.array().cast("array<bigint>"))
-        )
-
-    step = step.select(*keys, windows(F.col("_f"), F.col("_c")).alias("_w"), windows(F.col("_b"), F.col("_b")).alias("_v"))
-    # Second templates come after the first ones, null where they are the same.
-    both = F.concat("_w", F.zip_with("_w", "_v", lambda w, v: F.nullif(v, w)))
-    out = step.select(*keys, F.size("_w").alias("n_windows"), F.posexplode_outer(both).alias("at", "h"))
-    return out.where(F.col("h").isNotNull()).withColumn("at", F.col("at") % F.col("n_windows"))
+    clear = F.lit(~3)
+    whole = lambda h: h.bitwiseAND(clear)
+    after = lambda x, mark: whole(F.xxhash64(F.substring(x, len(mark) + 1, 1 << 30)))
+    number = lambda x: F.when(
+        x.startswith("<"),
+        F.when(x.startswith(NAME), after(x, NAME).bitwiseOR(F.lit(2).cast("long")))
+        .when(x.startswith(CAPITAL), after(x, CAPITAL).bitwiseOR(F.lit(1).cast("long")))
+        .otherwise(whole(F.xxhash64(x))),
+    ).otherwise(whole(F.xxhash64(x)))
+    step = texts.select(*keys, F.transform(_words(_stripped(F.lower(marked))), number).alias("_x"))
+    step = step.select(*keys, "_x", F.when(F.size("_x") >= WINDOW, F.size("_x") - WINDOW + 1).otherwise(F.least(F.size("_x"), F.lit(1))).alias("n_windows"))
+    # An outer explode, as an inner one would compute its array a second time for a filter on its size.
+    step = step.select(*keys, "_x", "n_windows", F.posexplode_outer("_x").alias("at", "_0")).where(F.col("at") < F.col("n_windows"))
+    x = [F.col("_0"), *[F.get(F.col("_x"), F.col("at") + k) for k in range(1, WINDOW)]]
+    holder = whole(F.xxhash64(F.lit(NAME)))
+    kind = lambda h: h.bitwiseAND(F.lit(3).cast("long"))
+    # The only window of a text of fewer words has nulls, which hashes pass over.
+    first = F.xxhash64(whole(x[0]), *[F.when(kind(h) == 2, holder).otherwise(whole(h)) for h in x[1:]])
+    second = F.xxhash64(*[F.when(kind(h) > 0, holder).otherwise(whole(h)) for h in x])
+    step = step.select(*keys, "n_windows", "at", first.alias("_w"), second.alias("_v"))
+    out = step.select(*keys, "n_windows", "at", F.explode_outer(F.array("_w", F.nullif("_v", "_w"))).alias("h"))
+    return out.where(F.col("h").isNotNull())
 
 
 def template_windows(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
