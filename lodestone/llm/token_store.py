@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import uuid
 import zlib
 from itertools import chain
@@ -34,6 +35,12 @@ FAN, LEVELS = 1024, 3
 SPAN = 8
 #: A cut on average every 2**BITS ids, never closer than LEAST or farther than MOST.
 BITS, LEAST, MOST = 9, 64, 4096
+#: Ids are dense already: a higher level of the codec costs more than it saves.
+CODEC = {"compression": "zstd", "parquet.compression.codec.zstd.level": "1"}
+#: Pieces that the model tokenizes before their ids are packed.
+SOME = 20_000
+#: Letters without marks and those of two bytes that begin with 0xC3, with a blank before them or not.
+WORD = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
 _GEAR = np.random.default_rng(0x5EED).integers(0, 2**63, 1 << 16, dtype=np.uint64)
 
 
@@ -43,9 +50,12 @@ def cuts(ids: np.ndarray) -> list[int]:
     if n <= LEAST:
         return [n]
     g = _GEAR[ids & 0xFFFF] + (ids.astype(np.uint64) >> np.uint64(16)) * np.uint64(0x9E3779B1)
-    h = g.copy()
-    for j in range(1, SPAN):
-        h[j:] += g[:-j] << np.uint64(j)
+    # The sum over the last SPAN ids, each shifted by its distance, by doubling.
+    h, j = g, 1
+    while j < SPAN:
+        longer = h.copy()
+        longer[j:] += h[:-j] << np.uint64(j)
+        h, j = longer, 2 * j
     found = np.flatnonzero((h >> np.uint64(40)) & np.uint64((1 << BITS) - 1) == 0) + 1
     out, last = [], 0
     for c in chain(found.tolist(), (n,)):
@@ -77,7 +87,7 @@ class LibraryEncoder:
     of an added token, and all texts of other tokenizers, go through the library whole.
     """
 
-    def __init__(self, path: str, max_known: int = 400_000, longest: int = 48):
+    def __init__(self, path: str, max_known: int = 800_000, longest: int = 48):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, models, pre_tokenizers
 
@@ -101,11 +111,17 @@ class LibraryEncoder:
         out: list[bytes] = [b""] * len(pieces)
         plain, other = [], []
         for i, x in enumerate(pieces):
-            (plain if x[1:].isalpha() and (x[:1].isalpha() or x[:1] == b" ") else other).append(i)
+            (plain if WORD(x) else other).append(i)
         said = b"\n".join([pieces[i] for i in plain]).decode("latin-1").translate(self.letters).split(self.letters[10])
-        tokenize, kind = self.tokenizer.model.tokenize, self.type
-        for i, x in zip(plain, said, strict=False):
-            out[i] = np.array([t.id for t in tokenize(x)], kind).tobytes()
+        tokenize, size = self.tokenizer.model.tokenize, self.type.itemsize
+        for at in range(0, len(plain), SOME):
+            tokens = [tokenize(x) for x in said[at : at + SOME]]
+            data = np.array([t.id for x in tokens for t in x], self.type).tobytes()
+            b = 0
+            for i, x in zip(plain[at : at + SOME], tokens, strict=True):
+                e = b + size * len(x)
+                out[i] = data[b:e]
+                b = e
         for i, x in zip(other, self.packed([pieces[i].decode() for i in other]), strict=True):
             out[i] = x
         return out
@@ -121,10 +137,11 @@ class LibraryEncoder:
         new = [i for i, x in enumerate(found) if x is None]
         for i, value in zip(new, self.encode_pieces([strings[i] for i in new]), strict=True):
             found[i] = value
-            if len(strings[i]) <= longest:
-                if len(known) >= self.max_known:
-                    known.clear()
-                known[strings[i]] = value
+        if len(known) + len(new) > self.max_known:
+            # Those of this slice stay, as far as they fit.
+            known.clear()
+            new = range(min(len(strings), self.max_known))
+        known.update((strings[i], found[i]) for i in new if len(strings[i]) <= longest)
         data, at = flat.joined(found, which, ends)
         ids, at = np.frombuffer(data, self.type), (at // self.type.itemsize).tolist()
         rows = [np.concatenate([ids[a:b], end]) for a, b in zip(at, at[1:])]  # noqa: B905
@@ -213,7 +230,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0) -
     loose = f"{folder}/loose"
     sent = docs.select("doc_id", "text").mapInArrow(encode, f"deal bigint, {both}").repartition("deal")
     kind = F.when(F.col("payload").isNull(), "recipe").otherwise("chunk").alias("kind")
-    sent.mapInArrow(unique, both).select("*", kind).write.option("compression", "zstd").partitionBy("kind").mode("overwrite").parquet(loose)
+    sent.mapInArrow(unique, both).select("*", kind).write.options(**CODEC).partitionBy("kind").mode("overwrite").parquet(loose)
     # Recipes alone are put in order: some bytes for each chunk.
     recipes = spark.read.schema(f"{both}, kind string").parquet(loose).where("kind = 'recipe'").select("doc_id", F.col("n").alias("n_tokens"), "addresses", F.col("address").alias("root"))
     ordered = recipes.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "root")
