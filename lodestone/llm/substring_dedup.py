@@ -131,7 +131,7 @@ def merge_bwts(shards: list[np.ndarray], ends: list[int], depth: int) -> tuple[n
     for _ in range(depth):
         # The characters of a shard stand at its places in the interleave, in their order.
         for k, own in zip(names, shards, strict=True):
-            chars[z == k] = own
+            np.place(chars, z == k, own)
         order = np.argsort(chars, kind="stable")[len(top) :]
         c, b = chars[order], block[order]
         # Each end mark is a block of its own: strings of different texts never go on into each other.
@@ -220,7 +220,7 @@ def _merged_holders(shards: list[list[tuple[int, bytes]]], least: dict[tuple[int
     return {key: _runs(values[b : b + k]) for key, b, k in zip(keys, base.tolist(), n.tolist(), strict=True)}
 
 
-def _evened(shards: list[list], most: int = 3) -> list[list]:
+def _evened(shards: list[list], most: int = 2) -> list[list]:
     """Small shards put together, so that a merge has few of them."""
     out: list[list] = [[] for _ in range(min(most, len(shards)))]
     for s in sorted(shards, key=len, reverse=True):
