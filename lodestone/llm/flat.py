@@ -9,6 +9,7 @@ its own; an empty column gives no slices.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,7 @@ import pyarrow.compute as pc
 import xxhash
 
 SLICE_BYTES = 8 << 20
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 #: Bytes of a stretch up to which stretches are hashed together.
 LONG = 256
 
@@ -65,6 +67,13 @@ def slices(batch: pa.RecordBatch, text: int, most: int = SLICE_BYTES) -> Iterato
         at = stop
 
 
+def give_back() -> None:
+    """Free memory goes back to the system, as an idle worker would keep it from the next stage's workers."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, where each row begins, and the end)."""
     column = pc.fill_null(column, "")

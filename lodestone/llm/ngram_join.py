@@ -44,6 +44,8 @@ FREQUENT_BATCHES = 0.25
 #: Up to so many links (16 bytes each) are merged in one task, more in distributed rounds.
 ONE_TASK_LINKS = 2_000_000
 BUCKET_BYTES = 12 << 20
+#: Bytes of text whose words are in memory at a time, some twenty times their size.
+SLICE_BYTES = 2 << 20
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -88,6 +90,20 @@ def shingles(text: str | None) -> np.ndarray:
     return shingle_sets(pa.array([text], pa.large_string()))[0]
 
 
+def often_in(sets: list[np.ndarray], least: float) -> np.ndarray:
+    """The hashes that stand in at least so many (one or more) of the sets, which are emptied; one copy of them is in memory."""
+    h = np.empty(sum(map(len, sets)), np.uint64)
+    at = len(h)
+    while sets:
+        s = sets.pop()
+        h[at - len(s) : at] = s
+        at -= len(s)
+    h.sort()
+    last = int(np.ceil(least)) - 1
+    h = h[last:][h[last:] == h[: max(0, len(h) - last)]]
+    return _distinct(h) if len(h) else h
+
+
 def signature(hashes: np.ndarray) -> int:
     """A signed 64-bit name of a set."""
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes()))))
@@ -107,15 +123,15 @@ def _described(docs: DataFrame) -> DataFrame:
     def look(batches):
         for batch in batches:
             n, node, every, seen = [], [], [], set()
-            for part in flat.slices(batch, 1):
+            for part in flat.slices(batch, 1, SLICE_BYTES):
                 for s in shingle_sets(part.column(1)):
                     n.append(len(s))
                     node.append(signature(s))
                     if node[-1] not in seen:
                         seen.add(node[-1])
                         every.append(s)
-            values, counts = np.unique(np.concatenate(every), return_counts=True) if every else (np.zeros(0, np.uint64), np.zeros(0))
-            often = values[counts >= max(least, share * len(every))].view(np.int64)
+            often = often_in(every, max(least, share * len(every))).view(np.int64)
+            flat.give_back()
             often = [often, *[None] * (len(n) - 1)] if n else []
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(node, pa.int64()), pa.array(often, pa.list_(pa.int64()))], names=["doc_id", "n", "node", "frequent"])
 
@@ -140,10 +156,13 @@ def _shared(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
     def packed(nodes, hs, ats, often, often_at):
         table = np.array(nodes, np.int64)
         h, at = np.concatenate(hs), np.concatenate(ats)
-        b = (h % np.uint64(buckets)).astype(np.int64)
+        hs.clear()
+        ats.clear()
+        b = (h % np.uint64(buckets)).astype(np.int32)
         # A shingle is known by its bucket and 32 more bits. Clashes between documents only add pairs to verify; shingles
         # of one document that clash are one, and counted as one, so its prefix gets no shorter.
         short = (h >> np.uint64(31)).astype(np.uint32)
+        del h
         order = np.argsort((b.astype(np.uint64) << np.uint64(32)) | short, kind="stable")
         short, at, b = short[order], at[order], b[order]
         again = np.zeros(len(b), bool)
@@ -160,7 +179,7 @@ def _shared(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
     def send(batches):
         seen: set[int] = set()
         nodes, hs, ats, often, often_at, total = [], [], [], [], [], 0
-        for s in (s for batch in batches for part in flat.slices(batch, 0) for s in shingle_sets(part.column(0))):
+        for s in (s for batch in batches for part in flat.slices(batch, 0, SLICE_BYTES) for s in shingle_sets(part.column(0))):
             if not len(s):
                 continue
             name = signature(s)
@@ -181,7 +200,7 @@ def _shared(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
                         often.append(top)
                         often_at.append(np.full(len(top), len(nodes)))
             hs.append(rare)
-            ats.append(np.full(len(rare), len(nodes), np.int64))
+            ats.append(np.full(len(rare), len(nodes), np.int32))
             nodes.append((name, len(s), len(rare)))
             total += len(s)
             if total > 1_000_000:
@@ -189,6 +208,8 @@ def _shared(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
                 nodes, hs, ats, often, often_at, total = [], [], [], [], [], 0
         if nodes:
             yield from packed(nodes, hs, ats, often, often_at)
+        del nodes, hs, ats, often, often_at
+        flat.give_back()
 
     def receive(batches):
         parts: dict[int, list] = {}
@@ -224,6 +245,8 @@ def _shared(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
             name = (h[keep] << 31) | np.int64(k & 0x7FFFFFFF)
             for i in range(0, int(keep.sum()), 200_000):
                 yield row(name[i : i + 200_000], t[keep][i : i + 200_000], df[keep][i : i + 200_000])
+        parts.clear()
+        flat.give_back()
 
     sent = docs.select("text").mapInArrow(send, "bucket int, payload binary").repartition(buckets, "bucket")
     return sent.mapInArrow(receive, "node bigint, n int, n_rare int, h bigint, df bigint")
@@ -338,13 +361,14 @@ def _labelled(docs: DataFrame, one_task: int = ONE_TASK_LINKS) -> DataFrame:
 
     def to_sets(batches):
         for batch in batches:
-            for part in flat.slices(batch, 1):
+            for part in flat.slices(batch, 1, SLICE_BYTES):
                 names, sets = [], []
                 for node, s in zip(part.column(0).to_pylist(), shingle_sets(part.column(1)), strict=True):
                     if signature(s) == node:  # rows that share a doc_id differ in their sets
                         names.append(node)
                         sets.append(s.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.binary())], names=["node", "set"])
+        flat.give_back()
 
     texts = wanted.join(docs.select(F.col("doc_id").alias("_id"), "text"), F.col("doc_id").eqNullSafe(F.col("_id")))
     sets = kept(texts.select("node", "text").mapInArrow(to_sets, "node bigint, set binary").dropDuplicates(["node"]), "sets")
@@ -418,9 +442,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     def name(batches):
         for batch in batches:
-            for part in flat.slices(batch, at):
+            for part in flat.slices(batch, at, SLICE_BYTES):
                 nodes = [signature(s) if len(s) else None for s in shingle_sets(part.column(at))]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(nodes, pa.int64())], names=[*columns, "_node"])
+        flat.give_back()
 
     named = docs.mapInArrow(name, StructType([*docs.schema.fields, StructField("_node", LongType())]))
     same_id = F.col("doc_id").eqNullSafe(F.col("_id"))

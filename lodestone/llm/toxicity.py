@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.flat import slices
+from lodestone.llm.flat import give_back, slices
 
 WINDOW, STEP, GRAM, CONTEXT = 48, 36, 5, 4
 LEVELS = (1, 2, 3, 4, 5, 6)
@@ -253,6 +253,7 @@ def score_table(docs: DataFrame, model: Model) -> DataFrame:
                 texts = part.column(at).to_pylist()
                 found = _scorer(model).scores(texts) if model.fitted and texts else np.zeros(len(texts))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.float64())], names=schema.names)
+            give_back()
 
     return docs.mapInArrow(score, schema)
 

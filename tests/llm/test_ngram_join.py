@@ -101,3 +101,37 @@ def test_rows_that_share_an_id_or_have_none_stay(spark):
     # (6, "") stays, as no text is kept under 6; (5, " ") goes, as texts are kept under 5.
     want = [(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, "two more words"), (8, None), (8, ""), (None, ""), (6, "")]
     assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, want))
+
+
+def test_memory_of_a_batch_is_a_few_times_its_text(spark, monkeypatch):
+    """The workers' own function over one Arrow batch of 16 MB."""
+    import tracemalloc
+
+    import pyarrow as pa
+    from pyspark.sql import DataFrame
+
+    taken = []
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda self, f, schema: taken.append(f) or self)
+    assert isinstance(ngram_join._described(spark.createDataFrame([(1, "a")], "doc_id long, text string")), DataFrame)
+    pick = random.Random(5)
+    words = [f"{pick.randrange(1 << 30):x}" for _ in range(5000)]
+    texts = [" ".join(pick.choices(words, k=900)) for _ in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array(texts)], names=["doc_id", "text"])
+    tracemalloc.start()
+    try:
+        rows = sum(b.num_rows for b in taken[0]([batch]))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == 2000 and peak < 5 * batch.nbytes
+
+
+def test_often_in_is_a_count():
+    import numpy as np
+
+    pick = random.Random(6)
+    for least in (1, 2.5, 3, 40):
+        sets = [np.unique(np.array([pick.randrange(60) for _ in range(pick.randrange(30))], np.uint64)) for _ in range(50)]
+        values, counts = np.unique(np.concatenate(sets), return_counts=True)
+        assert ngram_join.often_in(sets, least).tolist() == values[counts >= least].tolist() and not sets
+    assert len(ngram_join.often_in([], 64)) == 0
