@@ -8,8 +8,8 @@ have equal anchors at equal places, so they meet where anchors are dealt out by
 2. For marked anchors a batch sends its different *segments*: the bytes of all neighbouring windows with that anchor, with
    the smallest document in the batch. Equal segments of all batches become one. Where an anchor has several segments,
    each sender's segments are a shard with a Burrows-Wheeler transform; the transforms are merged by refining their
-   interleave one character at a time. The blocks of the interleave after k rounds are the suffixes with a common prefix of
-   k, so after 50 rounds the blocks of two or more are the repeated 50-byte strings, and no suffix of the whole is sorted
+   interleave a few characters at a time. The blocks of the interleave after k characters are the suffixes with a common
+   prefix of k, so after 50 the blocks of two or more are the repeated 50-byte strings, and no suffix of the whole is sorted
    again. Back goes the smallest document of each window, as runs.
 3. A batch removes the bytes of windows that a smaller document holds.
 
@@ -103,9 +103,11 @@ def build_bwt(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     key &= ~((np.uint64(1) << (np.uint64(8) * np.maximum(8 - room, 0).astype(np.uint64))) - np.uint64(1)) * (room > 0)
     width, end = 8, stop[seg]
     while True:
-        order = np.argsort(key, kind="stable")
+        # Ranks do not depend on the order of equal keys; in the last round equal suffixes are in the order of their segments.
+        order = np.argsort(key, kind="stable" if width > length.max() else None)
+        low = key[order]
         fresh = np.ones(len(order), bool)
-        fresh[1:] = key[order[1:]] != key[order[:-1]]
+        fresh[1:] = low[1:] != low[:-1]
         if width > length.max() or fresh.all():
             break
         rank = np.empty(len(order), np.uint64)
@@ -116,30 +118,86 @@ def build_bwt(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return np.where(o > 0, codes[np.maximum(order - 1, 0)], 0).astype(np.uint8), s, o
 
 
+#: So many characters are refined in one round.
+STEP = 4
+
+
+def _backwards(chars: np.ndarray, ends: int, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the step characters before each suffix as a number, the place of the suffix that is so much longer).
+
+    A number is 0 where a suffix has fewer characters before it.
+    """
+    order = np.argsort(chars, kind="stable")[ends:]
+    longer = np.zeros(len(chars), np.int32 if len(chars) < 1 << 31 else np.int64)
+    longer[order] = np.arange(ends, len(chars))
+    grams, at, whole = chars.astype(np.uint32), longer, chars > 0
+    for width in range(1, step):
+        c = chars[at]
+        whole &= c > 0
+        grams |= c.astype(np.uint32) << np.uint32(8 * width)
+        at = longer[at]
+    grams[~whole] = 0
+    return grams, at
+
+
+def _shorter(chars: np.ndarray, ends: int, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """(characters from the left with ends behind them, place) of the suffixes of one to step - 1 characters, string by string."""
+    order = np.argsort(chars, kind="stable")[ends:]
+    longer = np.zeros(len(chars), np.int64)
+    longer[order] = np.arange(ends, len(chars))
+    texts, places, names = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    text, at, name = np.zeros(ends, np.uint32), np.arange(ends), np.arange(ends)
+    for width in range(1, step):
+        c = chars[at]
+        go = c > 0
+        text, at, name = text[go] | (c[go].astype(np.uint32) << np.uint32(8 * (width - 1))), longer[at[go]], name[go]
+        texts.append(text << np.uint32(8 * (step - width)))
+        places.append(at)
+        names.append(name)
+    rank = np.argsort(np.concatenate(names), kind="stable")
+    return np.concatenate(texts)[rank], np.concatenate(places)[rank]
+
+
 def merge_bwts(shards: list[np.ndarray], ends: list[int], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(shard, block) in merged order: the interleave, and the numbers of the blocks with a common prefix of depth.
 
     ends: how many strings each shard has; their end marks are first in its order and stay in the order of the shards.
+    A round refines by the STEP characters before each suffix, which the transforms themselves give. The suffixes that are
+    shorter than that are the same in every round, and each of them is a block of its own: strings of different texts never
+    go on into each other.
     """
-    small = np.uint8 if len(shards) < 256 else np.int64
-    names = np.arange(len(shards), dtype=small)
-    z = np.repeat(np.arange(len(shards)), [len(x) for x in shards]).astype(small)
-    top = np.repeat(np.arange(len(shards)), ends).astype(small)
-    block = np.zeros(len(z), np.int32 if len(z) < 1 << 31 else np.int64)
-    heads = np.arange(len(top), dtype=block.dtype)
-    chars = np.empty(len(z), np.uint8)
-    for _ in range(depth):
-        # The characters of a shard stand at its places in the interleave, in their order.
-        for k, own in zip(names, shards, strict=True):
-            np.place(chars, z == k, own)
-        order = np.argsort(chars, kind="stable")[len(top) :]
-        c, b = chars[order], block[order]
-        # Each end mark is a block of its own: strings of different texts never go on into each other.
+    base = np.cumsum([0, *map(len, shards)])
+    n, tops = int(base[-1]), sum(ends)
+    kind = np.int32 if n < 1 << 30 else np.int64
+    rows, block = np.arange(n, dtype=kind), np.zeros(n, kind)
+    top = np.concatenate([np.arange(b, b + e, dtype=kind) for b, e in zip(base[:-1].tolist(), ends, strict=True)])
+    plans: dict[int, tuple] = {}
+    left = depth
+    while left:
+        step = min(STEP, left)
+        if step not in plans:
+            back = [_backwards(x, e, step) for x, e in zip(shards, ends, strict=True)]
+            short = [_shorter(x, e, step) for x, e in zip(shards, ends, strict=True)]
+            key = np.concatenate([x for x, _ in short] + [x for x, _ in back])
+            # Codes of 16 bits, where they are enough, are sorted by their digits; 0 stays 0, as each string has a suffix with nothing before it.
+            sorted_ = np.sort(key)
+            values = sorted_[np.r_[True, sorted_[1:] != sorted_[:-1]]]
+            key = np.searchsorted(values, key).astype(np.uint16 if len(values) < 1 << 16 else np.uint32)
+            m = len(key) - n
+            longer = np.concatenate([x + kind(b) for (_, x), b in zip(back, base.tolist(), strict=False)]).astype(kind)
+            at = np.concatenate([x + b for (_, x), b in zip(short, base.tolist(), strict=False)]).astype(kind)
+            plans[step] = key[:m], at, key[m:], longer, int((key[m:] == 0).sum())
+        short, at, key, longer, drop = plans[step]
+        c = np.concatenate([short, key[rows]])
+        order = np.argsort(c, kind="stable")[drop:]
+        c = c[order]
+        b = np.concatenate([np.arange(-len(short), 0, dtype=kind), block])[order]
         fresh = np.ones(len(order), bool)
         fresh[1:] = (c[1:] != c[:-1]) | (b[1:] != b[:-1])
-        block = np.concatenate([heads, len(top) - 1 + np.cumsum(fresh, dtype=block.dtype)])
-        z = np.concatenate([top, z[order]])
-    return z, block
+        block = np.concatenate([np.arange(tops, dtype=kind), kind(tops - 1) + np.cumsum(fresh, dtype=kind)])
+        rows = np.concatenate([top, np.concatenate([at, longer[rows]])[order]])
+        left -= step
+    return np.repeat(np.arange(len(shards)), np.diff(base)).astype(np.uint8 if len(shards) < 256 else np.int64)[rows], block
 
 
 def merged_rows(shards: list[list[bytes]], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

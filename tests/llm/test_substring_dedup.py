@@ -85,3 +85,24 @@ def test_table_equals_brute_force(spark, monkeypatch):
 
 def test_empty(spark):
     assert dedup_substrings(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_round_refines_by_several_characters(monkeypatch):
+    pick = random.Random(7)
+    shards = [[bytes(pick.choice(b"ab") for _ in range(pick.randrange(1, 70))) for _ in range(pick.randrange(1, 9))] for _ in range(3)]
+    built = [build_bwt(s) for s in shards]
+    for depth in (0, 1, 2, 3, 4, 5, 7, 8, 50):
+        rounds, sort = [], np.argsort
+        monkeypatch.setattr(substring_dedup.np, "argsort", lambda *a, **b: rounds.append(1) or sort(*a, **b))  # noqa: B023
+        z, block = merge_bwts([b[0] for b in built], [len(s) for s in shards], depth)
+        monkeypatch.undo()
+        assert len(rounds) < 50
+        rank, got = [0] * 3, []
+        for k in z.tolist():
+            _, s, o = built[k]
+            got.append((shards[k][s[rank[k]]][o[rank[k]] :][:depth], k, int(s[rank[k]])))
+            rank[k] += 1
+        assert [x[0] for x in got] == sorted(x[0] for x in got)
+        # Whole prefixes share a block, and what ends before is a block of its own.
+        same = [a[0] == b[0] and len(a[0]) == depth for a, b in zip(got, got[1:])]  # noqa: B905
+        assert [a == b for a, b in zip(block.tolist(), block[1:].tolist())] == same  # noqa: B905
