@@ -111,6 +111,40 @@ def test_more_queries_than_a_block(spark, monkeypatch):
     assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in want)
 
 
+def test_batch_search_is_the_whole_search(spark, monkeypatch):
+    """Ties by nine digits, scores below 0, equal vectors, ids that come twice, null and odd vectors, several turns of queries."""
+    monkeypatch.setattr(V, "QUERY_BYTES", 64)
+    monkeypatch.setattr(V, "STORE_TILE", 16)
+    pick = random.Random(8)
+    vectors = [[pick.gauss(0, 1) for _ in range(3)] for _ in range(150)] + [[1.0, 0.0, 0.0]] * 40 + [[-1.0, -1.0, 0.0], [0.0, 0.0, 0.0], None, [1.0], []]
+    rows = [(i, v) for i, v in enumerate(vectors)]
+    rows += [(200, [1.0, 2e-6, 0.0]), (7, vectors[7])] + [(150, [1.0, 0.0, 0.0])] * 12 + [(None, [1.0, 0.0, 0.0])]
+    pick.shuffle(rows)
+    asked = [(i, vectors[i]) for i in range(0, 190, 10)] + [(201, [-1.0, -1.0, -1.0]), (202, [0.0, 0.0, 0.0]), (203, [1.0, 0.0, 0.0]), (203, [0.0, 1.0, 0.0])]
+
+    def score(a, b):
+        if not a or not b or len(a) != len(b):
+            return 0.0
+        n = (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+        return max(0.0, min(1.0, sum(x * y for x, y in zip(a, b, strict=True)) / n)) if n else 0.0
+
+    store = spark.createDataFrame(rows, "id long, embedding array<double>")
+    queries = spark.createDataFrame(asked, "query_id long, query array<double>")
+    for drop in (True, False):
+        want = []
+        for q in {i for i, _ in asked}:
+            every = [(-round(score(a, b), 9), -1 if i is None else i, score(a, b)) for j, a in asked if j == q for i, b in rows if not drop or i is not None and i != q]
+            want += [(q, None if i < 0 else i, rank + 1, s) for rank, (_, i, s) in enumerate(sorted(every, key=lambda x: x[:2])[:10])]
+        found = [(r.query_id, r.id, r["rank"], r.score) for r in V.top_k_each(store, queries, 10, drop_self=drop).collect()]
+        order = lambda x: (x[0], x[2])
+        assert [x[:3] for x in sorted(found, key=order)] == [x[:3] for x in sorted(want, key=order)]
+        assert all(abs(a[3] - b[3]) < 1e-9 for a, b in zip(sorted(found, key=order), sorted(want, key=order), strict=True))
+    named = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [1.0, 0.0]), ("c", [0.0, 1.0])], "id string, embedding array<float>")
+    got = V.top_k_each(named, named.select(F.col("id").alias("query_id"), F.col("embedding").alias("query")), 1, drop_self=True).collect()
+    assert sorted((r.query_id, r.id) for r in got) == [("a", "b"), ("b", "a"), ("c", "a")]
+    assert V.top_k_each(store.limit(0), queries, 3).count() == 0 and V.top_k_each(store, queries.limit(0), 3).count() == 0
+
+
 def test_hybrid_search(spark):
     scored = spark.createDataFrame([("s1", 0.9), ("s2", 0.8), ("s3", 0.3), ("x", 0.2), ("y", 0.1)], "id string, score double")
     edges = spark.createDataFrame([("s1", "x", "CALLS"), ("x", "z", "CALLS"), ("s1", "y", "IMPORTS"), ("s2", "x", "CALLS")], "src string, dst string, edge_type string")
